@@ -56,7 +56,7 @@ def archive_tree(manifest: DataFrame) -> DataFrame:
     named = F.col("day").rlike(DAY_DIR) & F.col("day_is_dir")
     # Folders that are no days still show that their year exists.
     days = _counted(_entries(manifest).withColumn("day", F.when(named, F.col("day"))))
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.collect_list(
             F.when(
                 F.col("day").isNotNull(),

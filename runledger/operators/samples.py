@@ -75,14 +75,14 @@ def parse_days(spec: Column) -> Column:
     Parts that are neither a number nor a range are left out, and so are days outside 1-366.
     """
     def days_of(part: Column) -> Column:
-        low = F.regexp_extract(part, r"\A([0-9]{1,9})(?:\s*-\s*[0-9]{1,9})?\z", 1).try_cast("int")
-        high = F.regexp_extract(part, r"\A(?:[0-9]{1,9}\s*-\s*)?([0-9]{1,9})\z", 1).try_cast("int")
+        low = F.substring_index(part, "-", 1).try_cast("int")
+        high = F.substring_index(part, "-", -1).try_cast("int")
         first, last = F.greatest(low, F.lit(1)), F.least(high, F.lit(366))
-        in_order = low.isNotNull() & high.isNotNull() & (first <= last)
-        return F.when(in_order, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        valid = part.rlike(r"\A[0-9]{1,9}(?:\s*-\s*[0-9]{1,9})?\z") & (first <= last)
+        return F.when(valid, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
     parts = F.transform(F.split(spec, ","), lambda p: days_of(strip(p)))
-    return F.array_sort(F.array_distinct(F.flatten(parts)))
+    return F.sort_array(F.array_distinct(F.flatten(parts)))
 
 
 def day_list(requests: DataFrame, spec: str = "days", single: str | None = None) -> DataFrame:
