@@ -30,7 +30,7 @@ def non_empty(lines: DataFrame) -> DataFrame:
     return lines.where(F.length("line") > 0)
 
 
-def _shown(registry: Registry) -> Column:
+def shown(registry: Registry) -> Column:
     line = F.col("line")
     # An unregistered converter has no patterns, so all its lines are shown.
     return registry.choose(
@@ -40,7 +40,7 @@ def _shown(registry: Registry) -> Column:
 
 def matching_lines(lines: DataFrame, registry: Registry) -> DataFrame:
     """Lines that match a pattern of their converter, or all if it has none."""
-    return non_empty(lines).where(_shown(registry))
+    return non_empty(lines).where(shown(registry))
 
 
 def with_progress(lines: DataFrame, registry: Registry) -> DataFrame:
@@ -191,8 +191,8 @@ def job_events(
     feed = _events(
         idle_beats(lines, idle_seconds), SUB_HEARTBEAT, "heartbeat", nothing, F.col("beats")
     )
-    shown = throttle(matching_lines(lines, registry), registry, interval_sec)
-    feed = feed.unionByName(_events(shown, SUB_LOG, "log", F.col("line"), nothing))
+    visible = throttle(matching_lines(lines, registry), registry, interval_sec)
+    feed = feed.unionByName(_events(visible, SUB_LOG, "log", F.col("line"), nothing))
     news = monotonic_progress(lines, registry)
     feed = feed.unionByName(_events(news, SUB_PROGRESS, "progress", nothing, F.col("progress")))
     if ended is None:
