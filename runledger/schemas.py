@@ -3,10 +3,10 @@
 from pyspark.sql import types as T
 
 
-def _schema(required: str = "", **columns: str | T.DataType) -> T.StructType:
+def _schema(not_null: str = "", /, **columns: str | T.DataType) -> T.StructType:
     schema = T.StructType()
     for name, kind in columns.items():
-        schema = schema.add(name, kind, nullable=name not in required.split())
+        schema = schema.add(name, kind, nullable=name not in not_null.split())
     return schema
 
 

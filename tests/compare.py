@@ -39,7 +39,7 @@ def kinds(table):
 def compare(spark, con, sf_dir, query, sql):
     """``(rows, differences)``; differences is empty when both agree."""
     mine = query(spark, sf_dir).toArrow()
-    other = con.execute(sql).to_arrow_table()
+    other = con.sql(sql).to_arrow_table()
     problems = []
     (names, rows), (other_names, other_rows) = _bag(mine), _bag(other)
     if names != other_names:
