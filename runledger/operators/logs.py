@@ -60,17 +60,18 @@ def monotonic_progress(lines: DataFrame, registry: Registry) -> DataFrame:
     """
     firsts = (
         with_progress(lines, registry)
-        .where(F.col("progress").isNotNull())
         .groupBy("job_id", "progress")
         .agg(F.min("seq").alias("seq"), F.min_by("ts", "seq").alias("ts"))
     )
     earlier = (
         Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     )
-    best = F.max("progress").over(earlier)
+    best = F.coalesce(F.max("progress").over(earlier).cast("bigint"), F.lit(-(2**32)))
+    # Lines without progress make one group per run, which fails the comparison. Dropping
+    # them earlier would be pushed below the regexes and evaluate those twice.
     return (
         firsts.withColumn("best", best)
-        .where(F.col("best").isNull() | (F.col("progress") > F.col("best")))
+        .where(F.col("progress") > F.col("best"))
         .select("job_id", "seq", "ts", "progress")
     )
 

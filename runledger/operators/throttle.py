@@ -205,6 +205,8 @@ def throttle(
         .groupBy("job_id", "us")
         .agg(F.min("seq").alias("seq"), F.max("interval_us").alias("interval_us"))
         .withColumn("slice", F.floor(F.col("us") / width))
+        # The join below asks for this; said here, both uses of the rows share one shuffle.
+        .where(F.col("job_id").isNotNull() & F.col("slice").isNotNull())
         .select("job_id", "slice", "us", "seq", "interval_us")
         .repartition("job_id", "slice")
     )
