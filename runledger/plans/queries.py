@@ -13,7 +13,7 @@ from runledger.operators import (
     commands, convert, history, inventory, logs, requests, samples, throttle,
 )
 from runledger.plans.bridge import SITES, view
-from runledger.session import scratch_path, use_utc
+from runledger.session import scratch_path, ship_package, use_utc
 from runledger.sources import dat
 
 REGISTRY = default_registry()
@@ -342,8 +342,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The queries, each run with times read as UTC."""
-    def in_utc(query: Callable[[SparkSession, str], DataFrame]):
-        return lambda spark, sf_dir: query(use_utc(spark), sf_dir.rstrip("/"))
+    """The queries, ready for a session somebody else has set up."""
+    def prepared(query: Callable[[SparkSession, str], DataFrame]):
+        return lambda spark, sf_dir: query(ship_package(use_utc(spark)), sf_dir.rstrip("/"))
 
-    return {name: in_utc(query) for name, query in QUERIES.items()}
+    return {name: prepared(query) for name, query in QUERIES.items()}

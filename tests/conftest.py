@@ -5,17 +5,12 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
-# Python workers must find the package too.
-os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
 def spark():
-    from pyspark.sql import SparkSession
+    from runledger.session import build_session, ship_package
 
-    from runledger.session import build_session
-
-    SparkSession.builder.master("local[8]")
     session = build_session(
         "tests",
         **{
@@ -26,5 +21,5 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    yield ship_package(session)
     session.stop()
