@@ -5,18 +5,41 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runledger.sources import dat
 
 
-def pending(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+# Samples far outnumber the files and folders they come from, and one of those may hold a
+# large share of them; its rows are compared with the target in this many places.
+_SPREAD = 16
+
+
+def _matched(
+    source: DataFrame, target: DataFrame, keys: Sequence[str], how: str, spread: int
+) -> DataFrame:
+    """Semi or anti join on keys of which one may be hot in the source.
+
+    The target shrinks to its keys on the map side first. With ``spread`` each key is
+    repeated that often and a source row looks for one of the copies.
+    """
+    found = target.select(*keys).distinct()
+    if spread == 1:
+        return source.join(found, list(keys), how)
+    place = F.pmod(F.xxhash64(*source.columns), F.lit(spread)).cast("int")
+    copies = found.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return source.withColumn("_place", place).join(copies, [*keys, "_place"], how).drop("_place")
+
+
+def pending(
+    source: DataFrame, target: DataFrame, keys: Sequence[str], spread: int = 1
+) -> DataFrame:
     """Source rows whose key has no counterpart in the target.
 
-    The target shrinks to its keys on the map side first; the join then reuses the
-    partitioning of that step.
+    Pass a ``spread`` when many source rows may share a key.
     """
-    return source.join(target.select(*keys).distinct(), list(keys), "left_anti")
+    return _matched(source, target, keys, "left_anti", spread)
 
 
 def dat_to_parquet(
@@ -31,11 +54,11 @@ def dat_to_parquet(
     if stored is None:
         dat.write_samples(rows, dst)
     elif not overwrite:
-        dat.write_samples(pending(rows, stored, ["rel_path"]), dst)
+        dat.write_samples(pending(rows, stored, ["rel_path"], _SPREAD), dst)
     else:
         # Whole folders are replaced, so rows of other files in them are carried over.
-        touched = rows.select(*dat.PARTITIONS).distinct()
-        others = pending(stored, rows, ["rel_path"]).join(touched, dat.PARTITIONS, "left_semi")
+        others = _matched(stored, rows, dat.PARTITIONS, "left_semi", _SPREAD)
+        others = pending(others, rows, ["rel_path"], _SPREAD)
         dat.write_samples(rows.unionByName(others), dst, replace_folders=True)
 
 
@@ -49,5 +72,5 @@ def parquet_to_dat(
     rows = dat.read_samples(spark, src)
     stored = None if overwrite else dat.if_stored(lambda: dat.read_dat(spark, dst, schema))
     if stored is not None:
-        rows = pending(rows, stored, dat.PARTITIONS)
+        rows = pending(rows, stored, dat.PARTITIONS, _SPREAD)
     dat.write_dat(rows, dst, schema, replace_folders=overwrite)

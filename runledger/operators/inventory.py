@@ -14,13 +14,13 @@ STATION_FILE = r"(?is)\A.+\.zip\z"
 
 def _entries(manifest: DataFrame) -> DataFrame:
     """Manifest rows below a valid year folder, with their path split up."""
-    parts = F.split("path", "/")
-    depth = F.size(parts)
+    slashes = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/")))
+    depth = slashes + 1
     return (
         manifest.select(
-            F.get(parts, F.lit(0)).alias("year"),
-            F.get(parts, F.lit(1)).alias("day"),
-            F.get(parts, F.lit(2)).alias("name"),
+            F.substring_index("path", "/", 1).alias("year"),
+            F.split_part(F.col("path"), F.lit("/"), F.lit(2)).alias("day"),
+            F.split_part(F.col("path"), F.lit("/"), F.lit(3)).alias("name"),
             depth.alias("depth"),
             # Anything with something below it is a folder.
             ((depth > 1) | F.col("is_dir")).alias("year_is_dir"),

@@ -119,8 +119,8 @@ def tail_lines(lines: DataFrame, tail: str | int = "all", block: int = TAIL_BLOC
 
     Short tails are ranked; each task keeps its own last lines per run before the shuffle.
     That stops helping beyond the planner's limit, so for longer ones lines are counted per
-    block of ``seq``, only the block where the tail begins is ranked, and that gives each
-    run a first ``seq`` to keep. A block holds at most ``block`` lines of a run.
+    block of ``seq``, and only the block where the tail begins is ranked. A block holds at
+    most ``block`` lines of a run.
     """
     lines = non_empty(lines)
     count = parse_tail(tail)
@@ -141,30 +141,29 @@ def tail_lines(lines: DataFrame, tail: str | int = "all", block: int = TAIL_BLOC
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     room = F.lit(count) - F.coalesce(F.sum("_size").over(later), F.lit(0))
-    first_block = (
+    kept = (
         lines.groupBy("job_id", in_block).agg(F.count("*").alias("_size"))
         .withColumn("_room", room)
         .where(F.col("_room") > 0)
-        .groupBy("job_id")
-        .agg(
-            F.min("_block").alias("_block"),
-            (F.min_by("_size", "_block") > F.min_by("_room", "_block")).alias("_cut"),
-            F.min_by("_room", "_block").alias("_room"),
-        )
+    )
+    whole = kept.where(F.col("_size") <= F.col("_room")).select(
+        "job_id", "_block", (F.col("_block") * block).cast("bigint").alias("_from")
     )
     last = Window.partitionBy("job_id", "_block").orderBy(F.col("seq").desc())
-    starts_inside = (
+    cut = (
         lines.select("job_id", "seq", in_block)
-        .join(first_block.where("_cut"), ["job_id", "_block"])
+        .join(kept.where(F.col("_size") > F.col("_room")), ["job_id", "_block"])
         .withColumn("_n", F.row_number().over(last))
         .where(F.col("_n") == F.col("_room"))
-        .select("job_id", F.col("seq").alias("_from"))
+        .select("job_id", "_block", F.col("seq").alias("_from"))
     )
-    starts_at_block = first_block.where("NOT _cut").select(
-        "job_id", (F.col("_block") * block).cast("bigint").alias("_from")
+    # Joined by block rather than by run, so that a hot run spreads over many tasks.
+    return (
+        lines.withColumn("_block", in_block)
+        .join(whole.unionByName(cut), ["job_id", "_block"])
+        .where(F.col("seq") >= F.col("_from"))
+        .select(lines.columns)
     )
-    starts = starts_inside.unionByName(starts_at_block)
-    return lines.join(starts, "job_id").where(F.col("seq") >= F.col("_from")).select(lines.columns)
 
 
 def _events(df: DataFrame, sub: int, event_type: str, text: Column, num: Column) -> DataFrame:
