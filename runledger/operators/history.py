@@ -212,6 +212,24 @@ def end_writes(ended: DataFrame, pri: int = PRI_DONE) -> DataFrame:
     )
 
 
+def stop_writes(decided: DataFrame, state: DataFrame) -> DataFrame:
+    """Writes for requests to stop a run: ``decided`` comes from ``check_access`` with ``ts``.
+
+    Only allowed requests on runs that are still running write anything, the first one
+    per run.
+    """
+    asked = (
+        decided.where(F.col("decision") == "allowed")
+        .groupBy("run_id").agg(F.min("ts").alias("finished_at"))
+    )
+    running = state.where(F.col("status") == "running").select("run_id")
+    stopped = asked.join(running, "run_id", "left_semi").select(
+        "run_id", "finished_at", F.lit("failed").alias("status"),
+        F.lit(R.STOPPED_EXIT).alias("exit_code"),
+    )
+    return end_writes(stopped, PRI_STOP)
+
+
 def current_state(writes: DataFrame, policy: str = "last_writer") -> DataFrame:
     """State of each run after all writes to it.
 

@@ -21,11 +21,20 @@ class View:
         picked = ", ".join(f"{expr} AS {name}" for name, expr in self.columns.items())
         return f"SELECT {'DISTINCT ' if self.distinct else ''}{picked} FROM {self.table}"
 
-    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        source = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+    def of(self, source: DataFrame) -> DataFrame:
         rows = source.selectExpr(*[f"{expr} AS {name}" for name, expr in self.columns.items()])
         return rows.distinct() if self.distinct else rows
 
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.of(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"))
+
+    def stream(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The same rows as a stream; files that arrive later would follow."""
+        file = f"{self.table}.parquet"
+        schema = spark.read.parquet(f"{sf_dir}/{file}").schema
+        reader = spark.readStream.schema(schema).option("pathGlobFilter", file)
+        return self.of(reader.option("maxFilesPerTrigger", 16).parquet(sf_dir))
+
 
 _FINISHED = (
     "CASE WHEN o_orderstatus = 'O' THEN NULL ELSE"
@@ -145,6 +154,10 @@ def view(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return VIEWS[name].frame(spark, sf_dir)
 
 
+def stream(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VIEWS[name].stream(spark, sf_dir)
+
+
 def with_views(query: str, *names: str) -> str:
     """The query with the named views in front of it as common table expressions."""
     head = ", ".join(f"{name} AS ({VIEWS[name].sql()})" for name in names)

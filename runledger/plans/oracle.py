@@ -82,6 +82,8 @@ UNION ALL SELECT job_id, seq, 2, ts, 'progress', NULL, progress FROM ({_MONOTONI
 UNION ALL SELECT id, NULL, 3, finished_at, 'error', 'container not found', NULL FROM ended WHERE exit_code = -1
 UNION ALL SELECT id, NULL, 4, finished_at, 'done', NULL, coalesce(exit_code, -1) FROM ended"""
 
+_FEED = _EVENTS[: _EVENTS.index("\nUNION ALL SELECT id")]
+
 _STATE_WRITES = """SELECT id AS run_id, started_at AS changed_at, 0 AS pri, 'running' AS status, CAST(NULL AS TIMESTAMP) AS finished_at, CAST(NULL AS INTEGER) AS exit_code FROM job_runs
 UNION ALL SELECT id, started_at + INTERVAL 10 MINUTE, 1, 'failed', started_at + INTERVAL 10 MINUTE, -2 FROM job_runs WHERE id % 7 = 0
 UNION ALL SELECT id, finished_at, 2, CASE WHEN exit_code = 0 THEN 'success' ELSE 'failed' END, finished_at, exit_code FROM job_runs WHERE finished_at IS NOT NULL"""
@@ -202,6 +204,14 @@ _SQL: dict[str, tuple[str, str]] = {
     "log_throttle": ("job_log_lines", f"{_throttled(_GAP_LONG)} SELECT * FROM shown"),
     "log_throttle_own_interval": ("job_log_lines", f"{_throttled(_GAP_OWN)} SELECT * FROM shown"),
     "job_events": ("job_log_lines job_runs", _EVENTS),
+    "feed_stream": ("job_log_lines job_runs", _FEED),
+    "outcome_stream": ("job_runs", """SELECT id AS run_id, CASE WHEN finished_at IS NULL THEN 'running'
+ WHEN code = 0 THEN 'success' ELSE 'failed' END AS status, finished_at,
+ CASE WHEN finished_at IS NOT NULL THEN CAST(code AS INTEGER) END AS exit_code
+ FROM (SELECT *, CASE WHEN id % 5 = 0 THEN -1 ELSE exit_code END AS code FROM job_runs)"""),
+    "run_stops": ("access_requests job_runs users", """SELECT DISTINCT r.id AS run_id, 'failed' AS status, CAST(-2 AS INTEGER) AS exit_code
+ FROM access_requests a JOIN job_runs r ON r.id = a.run_id JOIN users u ON u.id = a.viewer_id AND u.is_active
+ WHERE r.finished_at IS NULL AND r.id % 7 <> 0 AND (u.role = 'admin' OR u.id = r.user_id)"""),
     "archive_days": ("file_manifest", _DAYS_COUNTED),
     "archive_tree": ("file_manifest", f"""SELECT year, string_agg(day || ':' || CAST(stations AS VARCHAR), ','
  ORDER BY CAST(day AS INTEGER), length(day), day) AS days FROM ({_DAYS_COUNTED}) GROUP BY year"""),

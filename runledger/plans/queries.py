@@ -12,9 +12,10 @@ from runledger.functions.runs import UNKNOWN_EXIT
 from runledger.operators import (
     commands, convert, history, inventory, logs, requests, samples, throttle,
 )
-from runledger.plans.bridge import SITES, view
-from runledger.session import scratch_path, ship_package, use_utc
-from runledger.sources import dat
+from runledger.plans.bridge import SITES, stream, view
+from runledger.session import STATE_STORE, scratch_path, ship_package, temporary_conf, use_utc
+from runledger.sources import dat, tables
+from runledger.streaming import feed, outcomes
 
 REGISTRY = default_registry()
 
@@ -197,6 +198,47 @@ def job_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def feed_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed as a stream over the log table, run to its end and read back."""
+    events = feed.follow(stream("job_log_lines", spark, sf), REGISTRY, interval_sec=THROTTLE_SEC)
+    out = scratch_path(spark, "feed")
+    with temporary_conf(spark, {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}):
+        query = (
+            events.writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", scratch_path(spark, "checkpoint"))
+            .trigger(availableNow=True).start(out)
+        )
+        query.awaitTermination()
+    rows = spark.read.schema(schemas.JOB_EVENTS).parquet(out)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def outcome_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """State of all runs after a stream of exit notices has been recorded."""
+    ended = stream("job_runs", spark, sf).where(F.col("finished_at").isNotNull())
+    exits = ended.select(
+        F.col("id").alias("run_id"), F.col("finished_at").cast("timestamp").alias("ts"),
+        F.when(F.col("id") % 5 > 1, F.col("exit_code")).alias("stream_code"),
+        F.when(F.col("id") % 5 == 1, F.col("exit_code")).alias("looked_up_code"),
+    )
+    state = scratch_path(spark, "state")
+    tables.append_state(history.start_writes(view("job_runs", spark, sf)), state)
+    outcomes.record_outcomes(exits, state, scratch_path(spark, "checkpoint")).awaitTermination()
+    rows = history.current_state(tables.read_state_writes(spark, state))
+    return rows.withColumn("finished_at", F.col("finished_at").cast("timestamp_ntz"))
+
+
+def run_stops(spark: SparkSession, sf: str) -> DataFrame:
+    """What users' requests to stop their runs write to the state."""
+    asked = view("access_requests", spark, sf).withColumn(
+        "ts", F.to_timestamp(F.lit("2001-01-01 00:00:00"))
+    )
+    runs, users = view("job_runs", spark, sf), view("users", spark, sf)
+    state = history.current_state(state_writes(runs))
+    rows = history.stop_writes(history.check_access(asked, runs, users), state)
+    return rows.select("run_id", "status", "exit_code")
+
+
 def archive_days(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.archive_days(view("file_manifest", spark, sf))
 
@@ -324,6 +366,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_throttle": _throttled(THROTTLE_SEC),
     "log_throttle_own_interval": _throttled(None),
     "job_events": job_events,
+    "feed_stream": feed_stream,
+    "outcome_stream": outcome_stream,
+    "run_stops": run_stops,
     "archive_days": archive_days,
     "archive_tree": archive_tree,
     "request_validation": request_validation,

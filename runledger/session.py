@@ -4,18 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import functools
-import pathlib
+import sys
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_shipped: set[str] = set()
-
 
 def build_session(app_name: str = "runledger", **conf: str) -> SparkSession:
     """A session with the settings this package relies on; the master comes from outside."""
@@ -39,20 +37,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, wherever the driver was started.
+    """Sends this package's Python code along with each job that needs it.
 
-    Does what ``--py-files`` does for a submitted job; call it once per application if the
-    package is not installed on the executors.
+    Call it once where Python workers cannot import the package: it is neither installed
+    on the executors nor given with ``--py-files``.
     """
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        source = pathlib.Path(__file__).parent
-        archive = pathlib.Path(tempfile.mkdtemp(prefix="runledger-")) / "runledger.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for module in sorted(source.rglob("*.py")):
-                out.write(module, module.relative_to(source.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
+    cloudpickle.register_pickle_by_value(sys.modules["runledger"])
     return spark
 
 

@@ -140,6 +140,24 @@ def test_state_policies(spark):
         history.current_state(df, "newest")
 
 
+def test_stops(spark, runs, users):
+    asked = spark.createDataFrame(
+        [(1, 30, T0), (2, 30, T0), (1, 0, T0), (1, 31, T0 + dt.timedelta(hours=2)),
+         (1, 31, T0 + dt.timedelta(hours=1))],
+        "viewer_id LONG, run_id LONG, ts TIMESTAMP",
+    )
+    writes = history.start_writes(runs).unionByName(
+        history.end_writes(runs.where("exit_code = 0").selectExpr(
+            "id AS run_id", "finished_at", "'success' AS status", "exit_code"))
+    )
+    state = history.current_state(writes)
+    stops = history.stop_writes(history.check_access(asked, runs, users), state)
+    got = {r.run_id: (r.status, r.exit_code, r.finished_at) for r in stops.collect()}
+    assert got == {30: ("failed", -2, T0), 31: ("failed", -2, T0 + dt.timedelta(hours=1))}
+    after = history.current_state(writes.unionByName(stops)).where("run_id IN (0, 30)")
+    assert {r.run_id: r.status for r in after.collect()} == {0: "success", 30: "failed"}
+
+
 def test_new_runs_are_stored_as_running(spark, tmp_path):
     from runledger.operators import requests
 

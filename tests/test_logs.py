@@ -193,7 +193,7 @@ def test_log_text(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "deep" / "a.log").write_bytes(TEXT)
     path = str(tmp_path / "in")
-    assert [r.line for r in read_log_text(spark, path).collect()] == EXPECTED
+    assert [r.line for r in read_log_text(spark, path).orderBy("seq").collect()] == EXPECTED
     query = (
         stream_log_text(spark, path, max_files=1).writeStream.format("memory")
         .queryName("log_text").trigger(availableNow=True).start()
@@ -202,6 +202,37 @@ def test_log_text(spark, tmp_path):
     assert [r.line for r in spark.table("log_text").collect()] == EXPECTED
 
 
+def test_line_numbers_rise_along_each_file(spark, tmp_path):
+    """Many small splits, packed several to a task."""
+    rng = random.Random(3)
+    expected = {}
+    for name in "abcd":
+        lines = [f"{name}{i}" + "x" * rng.randrange(12) for i in range(rng.randrange(20, 90))]
+        (tmp_path / f"{name}.log").write_text("".join(t + "\n" * rng.choice([1, 1, 4]) for t in lines))
+        expected[name] = lines
+    small = {"spark.sql.files.maxPartitionBytes": "61", "spark.sql.files.openCostInBytes": "0"}
+    with temporary_conf(spark, small):
+        df = read_log_text(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 10
+        rows = df.collect()
+    for name, lines in expected.items():
+        mine = sorted((r.seq, r.line) for r in rows if r.line[0] == name)
+        assert [t for _, t in mine] == lines
+        assert len({s for s, _ in mine}) == len(mine)
+
+
+def test_stream_of_new_files_only(spark, tmp_path):
+    import os
+
+    (tmp_path / "old.log").write_text("old\n")
+    os.utime(tmp_path / "old.log", (1_600_000_000, 1_600_000_000))
+    lines = stream_log_text(spark, str(tmp_path), only_new=True)
+    (tmp_path / "new.log").write_text("new\n")
+    query = lines.writeStream.format("memory").queryName("new_only").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
+    assert [r.line for r in spark.table("new_only").collect()] == ["new"]
+
+
 def test_log_bytes(spark):
     raw = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(TEXT.split(b"\n"))], "seq LONG, raw BINARY")
     assert [r.line for r in lines_from_bytes(raw).orderBy("seq").collect()] == EXPECTED
