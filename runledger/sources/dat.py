@@ -20,7 +20,7 @@ from runledger.session import temporary_conf
 PARTITIONS = ["year", "doy", "site"]
 
 _NULL = "-"
-_LAYOUT = r"((?:year=)?([0-9]{4})/(?:doy=)?([0-9]{1,3})/(?:site=)?([^/]+)/[^/]+)\z"
+_LAYOUT = r"((?:year=)?([0-9]{4})/(?:doy=)?([0-9]{1,3})/(site=)?([^/]+)/[^/]+)\z"
 
 
 def _field(name: str, kind: T.DataType) -> Column:
@@ -39,6 +39,9 @@ def _field(name: str, kind: T.DataType) -> Column:
 def format_dat(samples: DataFrame, schema: T.StructType) -> DataFrame:
     """Partition columns and ``value``, the text line of each sample."""
     line = F.concat_ws(" ", *[_field(f.name, f.dataType) for f in schema])
+    if "bad_line" in samples.columns:
+        # Lines that could not be read go back as they came.
+        line = F.coalesce(F.col("bad_line"), line)
     return samples.select(*PARTITIONS, line.alias("value"))
 
 
@@ -63,6 +66,17 @@ def parse_dat(lines: DataFrame, schema: T.StructType, column: str = "value") ->
     )
 
 
+def _decoded(name: Column) -> Column:
+    return F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def _site(path: Column) -> Column:
+    # The path is URL-encoded; below "site=" the name itself is escaped as well.
+    name = _decoded(F.regexp_extract(path, _LAYOUT, 5))
+    escaped = F.regexp_extract(path, _LAYOUT, 4) != ""
+    return F.when(escaped, _decoded(name)).otherwise(name)
+
+
 def read_dat(
     spark: SparkSession, root: str, schema: T.StructType, subpath: str = ""
 ) -> DataFrame:
@@ -76,7 +90,7 @@ def read_dat(
     placed = raw.select(
         F.regexp_extract(path, _LAYOUT, 2).try_cast("int").alias("year"),
         F.regexp_extract(path, _LAYOUT, 3).try_cast("int").alias("doy"),
-        F.regexp_extract(path, _LAYOUT, 4).alias("site"),
+        _site(path).alias("site"),
         F.regexp_extract(path, _LAYOUT, 1).alias("rel_path"),
         "value",
     ).where(F.col("year").isNotNull())
@@ -116,7 +130,11 @@ def write_samples(samples: DataFrame, path: str, replace_folders: bool = False)
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Stored Parquet samples. Sites stay text, also when their names are digits."""
+    as_text = {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}
+    with temporary_conf(spark, as_text):
+        rows = spark.read.parquet(path)
+    return rows.withColumns({c: F.col(c).cast("int") for c in ("year", "doy")})
 
 
 def if_stored(read: Callable[[], DataFrame]) -> DataFrame | None:

@@ -162,6 +162,28 @@ def test_selection_prunes_folders(spark, df, tmp_path):
     assert all(c in pruned[:pruned.index("PushedFilters")] for c in ("year", "doy", "site"))
 
 
+def test_sites_keep_their_names(spark, df, tmp_path):
+    sites = ["0010", "007", "a b", "50%+c", "x=y"]
+    odd = df.limit(1).select("year", "doy", "ts", "sat", "el", "tec").withColumn(
+        "site", F.explode(F.array(*[F.lit(s) for s in sites])))
+    parquet, text = str(tmp_path / "parquet"), str(tmp_path / "text")
+    dat.write_samples(odd, parquet)
+    assert sorted(r.site for r in dat.read_samples(spark, parquet).collect()) == sorted(sites)
+    convert.parquet_to_dat(spark, parquet, text, schemas.SAMPLES)
+    assert bag(dat.read_dat(spark, text, schemas.SAMPLES)) == bag(odd)
+    write(str(tmp_path / "plain"), "2024/001/a b+/x.dat", "2024-01-01T00:00:00 G01 1 1")
+    assert dat.read_dat(spark, str(tmp_path / "plain"), schemas.SAMPLES).first().site == "a b+"
+
+
+def test_bad_lines_survive_both_ways(spark, tmp_path):
+    src, mid, back = (str(tmp_path / n) for n in ("src", "mid", "back"))
+    write(src, "2024/007/aksu/a.dat", "2024-01-07T00:00:00 G01 10 1", "what is this")
+    convert.dat_to_parquet(spark, src, mid, schemas.SAMPLES)
+    convert.parquet_to_dat(spark, mid, back, schemas.SAMPLES)
+    lines = [r.bad_line for r in dat.read_dat(spark, back, schemas.SAMPLES).collect()]
+    assert sorted(lines, key=str) == [None, "what is this"]
+
+
 def test_pending(spark):
     source = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "path STRING")
     target = spark.createDataFrame([("a",), ("a",), ("z",)], "path STRING")
