@@ -27,7 +27,7 @@ SUB_HEARTBEAT, SUB_LOG, SUB_PROGRESS, SUB_ERROR, SUB_DONE = range(5)
 
 def non_empty(lines: DataFrame) -> DataFrame:
     """Drops empty lines; blank ones stay."""
-    return lines.where(F.length("line") > 0)
+    return lines if "shown" in lines.columns else lines.where(F.length("line") > 0)
 
 
 def shown(registry: Registry) -> Column:
@@ -40,11 +40,14 @@ def shown(registry: Registry) -> Column:
 
 def matching_lines(lines: DataFrame, registry: Registry) -> DataFrame:
     """Lines that match a pattern of their converter, or all if it has none."""
-    return non_empty(lines).where(shown(registry))
+    keep = F.col("shown") if "shown" in lines.columns else shown(registry)
+    return non_empty(lines).where(keep)
 
 
 def with_progress(lines: DataFrame, registry: Registry) -> DataFrame:
     """Adds ``progress``: the percentage a line states, NULL when none."""
+    if "progress" in lines.columns:
+        return lines
     line = F.col("line")
     value = registry.choose(
         F.col("converter"), lambda c: percent(line, c.patterns), F.lit(None).cast("int")
@@ -52,6 +55,16 @@ def with_progress(lines: DataFrame, registry: Registry) -> DataFrame:
     return non_empty(lines).withColumn("progress", value)
 
 
+def annotate(lines: DataFrame, registry: Registry) -> DataFrame:
+    """Non-empty lines with ``shown`` and ``progress``; text is kept for shown lines only.
+
+    All operators here take such lines and then need no regexes. Where several of them run
+    over the same large log, store this once (Parquet) and let each read its few columns.
+    """
+    marked = with_progress(lines, registry).withColumn("shown", shown(registry))
+    return marked.withColumn("line", F.when(F.col("shown"), F.col("line")))
+
+
 def monotonic_progress(lines: DataFrame, registry: Registry) -> DataFrame:
     """``(job_id, seq, ts, progress)`` of lines whose progress tops all earlier ones.
 

@@ -80,9 +80,6 @@ class Registry:
             chosen = F.when(hit, value(conv)) if chosen is None else chosen.when(hit, value(conv))
         return otherwise if chosen is None else chosen.otherwise(otherwise)
 
-    def is_known(self, converter: Column) -> Column:
-        return F.coalesce(converter.isin([c.name for c in self.converters]), F.lit(False))
-
     def label_of(self, converter: Column) -> Column:
         """Label for a converter, its raw name when unregistered."""
         return self.choose(converter, lambda c: F.lit(c.label), converter)

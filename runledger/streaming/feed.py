@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from runledger import schemas
 from runledger.functions.runs import micros
 from runledger.operators.logs import (
-    IDLE_SECONDS, SUB_HEARTBEAT, SUB_LOG, SUB_PROGRESS, shown, with_progress,
+    IDLE_SECONDS, SUB_HEARTBEAT, SUB_LOG, SUB_PROGRESS, annotate,
 )
 from runledger.registry import Registry
 
@@ -35,10 +35,9 @@ def marked_lines(lines: DataFrame, registry: Registry, interval_sec: float | Non
         interval = registry.interval_us(F.col("converter"))
     else:
         interval = F.lit(round(interval_sec * 1_000_000)).cast("bigint")
-    seen = with_progress(lines, registry).withColumn("shown", shown(registry))
-    return seen.select(
+    return annotate(lines, registry).select(
         "job_id", "seq", micros(F.col("ts")).alias("us"), "shown", "progress",
-        interval.alias("interval_us"), F.when(F.col("shown"), F.col("line")).alias("text"),
+        interval.alias("interval_us"), F.col("line").alias("text"),
     )
 
 
@@ -50,14 +49,18 @@ class FollowRun(StatefulProcessor):
     run is forgotten.
     """
 
-    def __init__(self, idle_seconds: float, live_beats: bool, give_up_seconds: float) -> None:
+    def __init__(
+        self, idle_seconds: float, live_beats: bool, give_up_seconds: float,
+        forget_after_seconds: float | None,
+    ) -> None:
         self.idle_us = round(idle_seconds * 1_000_000)
         self.live_beats = live_beats
         self.most_beats = int(give_up_seconds // idle_seconds)
+        self.ttl_ms = None if forget_after_seconds is None else round(forget_after_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("run", _STATE)
+        self.state = handle.getValueState("run", _STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         job_id = key[0]
@@ -121,22 +124,25 @@ def follow(
     idle_seconds: float = IDLE_SECONDS,
     live_beats: bool = False,
     give_up_seconds: float = 3600,
+    forget_after_seconds: float | None = None,
 ) -> DataFrame:
     """Streaming feed with the rows of ``logs.job_events``, but for the closing events.
 
     Lines of a run must arrive in order of ``seq`` from one micro-batch to the next; within
-    a batch their order does not matter.
+    a batch their order does not matter. A few numbers per run are kept for ever, unless
+    ``forget_after_seconds`` drops those of runs without lines for that long.
     """
     if idle_seconds <= 0:
         raise ValueError("idle_seconds must be positive")
+    clock = live_beats or forget_after_seconds is not None
     return (
         marked_lines(lines, registry, interval_sec)
         .groupBy("job_id")
         .transformWithStateInPandas(
-            FollowRun(idle_seconds, live_beats, give_up_seconds),
+            FollowRun(idle_seconds, live_beats, give_up_seconds, forget_after_seconds),
             outputStructType=schemas.JOB_EVENTS,
             outputMode="Append",
             # With a clock a query never runs out of batches, so it is on only when needed.
-            timeMode="ProcessingTime" if live_beats else "None",
+            timeMode="ProcessingTime" if clock else "None",
         )
     )

@@ -185,6 +185,29 @@ def test_events(spark):
     ]
 
 
+def test_annotated_lines_give_the_same_events(spark, tmp_path):
+    rng = random.Random(11)
+    texts = ["", " ", "noise", "Completed 3 / 9", "Progress: 40%", "Progress: 7%"]
+    rows = [
+        (job, seq, seq * 300_000, ["dat-parquet-handler", "retired-tool", "abstec-suite"][job],
+         rng.choice(texts))
+        for job in range(3) for seq in range(120)
+    ]
+    df = lines_df(spark, rows)
+    path = str(tmp_path / "annotated")
+    logs.annotate(df, REGISTRY).write.parquet(path)
+    stored = spark.read.parquet(path)
+    plain = logs.job_events(df, REGISTRY, idle_seconds=0.5).collect()
+    assert sorted(map(str, logs.job_events(stored, REGISTRY, idle_seconds=0.5).collect())) == sorted(map(str, plain))
+    plan = logs.idle_beats(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "line" not in plan[plan.index("ReadSchema"):]
+
+
+def test_short_tails_are_cut_before_the_shuffle(spark):
+    plan = logs.tail_lines(lines_df(spark, [(1, 0, 0, "x", "t")]), 3)._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("WindowGroupLimit") == 2
+
+
 TEXT = b"first\r\n\n \nbad \xff byte\nhalf\rway\nlast"
 EXPECTED = ["first", " ", "bad � byte", "half\rway", "last"]
 

@@ -90,6 +90,38 @@ def test_live_beats_stop_when_a_run_stays_silent(spark, tmp_path):
         query.stop()
 
 
+def test_silent_runs_can_be_forgotten(spark, tmp_path):
+    """After its state is gone, a run's progress counts as new again."""
+    path = str(tmp_path / "lines")
+    start = dt.datetime(2024, 1, 1)
+
+    def add(seq):
+        line = (1, seq, start, "abstec-suite", "Progress: 50%")
+        spark.createDataFrame([line], schemas.LOG_LINES).write.mode("append").parquet(path)
+
+    add(0)
+    stream = spark.readStream.schema(schemas.LOG_LINES).parquet(path)
+    query = (
+        feed.follow(stream, REGISTRY, forget_after_seconds=2.0).writeStream.format("memory")
+        .queryName("forgotten").trigger(processingTime="200 milliseconds").start()
+    )
+
+    def wait_for(count):
+        deadline = dt.datetime.now() + dt.timedelta(seconds=60)
+        while dt.datetime.now() < deadline and spark.table("forgotten").count() < count:
+            query.awaitTermination(1)
+
+    try:
+        wait_for(2)
+        query.awaitTermination(4)
+        add(1)
+        wait_for(4)
+        kinds = sorted(r.event_type for r in spark.table("forgotten").collect())
+        assert kinds == ["log", "log", "progress", "progress"]
+    finally:
+        query.stop()
+
+
 def test_outcomes_are_recorded(spark, tmp_path):
     notices, state = str(tmp_path / "exits"), str(tmp_path / "state")
     at = dt.datetime(2024, 1, 1, 12)
