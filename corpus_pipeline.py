@@ -7,23 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from runledger.llm.common import stored, table
+from runledger.llm.decontaminate import contamination
+from runledger.llm.line_dedup import dedup_lines
+from runledger.llm.mixing import mix
 from runledger.llm.near_duplicates import near_duplicates
+from runledger.llm.toxicity import toxicity
 from runledger.session import ship_package, use_utc
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose calibrated score says toxic."""
+    judged = toxicity(docs, table(spark, sf_dir, "labels"))
+    return judged.where("predicted = 0").select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of line runs of 50 words or more, and documents left without a word."""
+    ship_package(spark)
+    return dedup_lines(docs, min_words=50).where("NOT emptied").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: five words, similarity 0.8."""
     ship_package(spark)
     return near_duplicates(docs, n=5, percent=80).where("keeper").select(docs.columns)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter one."""
+    judged = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return judged.where("NOT contaminated").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the training mix takes, repeats counted."""
+    ship_package(spark)
+    return mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("near_dedup", near_dedup),
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mix", mix_sources),
 ]
 
-# Classifiers, sketches and suffix ranks have no SQL form; the tests compare with brute force.
+# A learned classifier has no SQL form; the tests compare the stages with brute force.
 ORACLE_SQL: str | None = None
 
 

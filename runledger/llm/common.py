@@ -83,8 +83,9 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     size = len(hashes) - n + 1
     total = np.full(size, n, np.uint64)
     for k in range(n):
-        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + size])
-    return total
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += hashes[k : k + size]
+    return mixed(total)
 
 
 # Bloom filters of one fixed size: what is broadcast does not grow with the data. A fuller

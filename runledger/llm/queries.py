@@ -7,10 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from runledger.llm.common import table
+from runledger.llm.decontaminate import CONTAMINATION_SQL, contamination
+from runledger.llm.html_text import extract_text
+from runledger.llm.line_dedup import LINES_SQL, dedup_lines
+from runledger.llm.mixing import MIX_SQL, mix
 from runledger.llm.near_duplicates import near_duplicates
+from runledger.llm.quality import judge_quality
+from runledger.llm.toxicity import toxicity
+from runledger.llm.url_filter import URL_SQL, judge_urls
 from runledger.session import ship_package, use_utc
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix by source weights takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts of each document and whether rules keep it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return judge_quality(docs, keep_text=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of each page's url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that lie in ten-word windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of two-word shingles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -19,8 +60,29 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs of 50 words or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, min_words=50).select("doc_id", "text", "n_lines", "n_removed", "emptied")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated toxicity score for each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted"
+    )
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_source_mix": op3_source_mix,
+    "op4_quality": op4_quality,
+    "op5_url_filter": op5_url_filter,
+    "op6_html_text": op6_html_text,
+    "op7_winnowing": op7_winnowing,
     "op8_hyperminhash": op8_hyperminhash,
+    "op9_line_runs": op9_line_runs,
+    "op10_toxicity": op10_toxicity,
 }
 
 
@@ -32,4 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_source_mix": MIX_SQL,
+        "op5_url_filter": URL_SQL,
+        "op7_winnowing": CONTAMINATION_SQL,
+        "op9_line_runs": LINES_SQL,
+    }
