@@ -7,10 +7,11 @@ band with probability 5e-8. Empty buckets of a short text repeat a filled one, f
 along a fixed random order of the buckets, so they agree as often as filled ones do.
 
 Texts with equal shingle sets count as one node. Per band key the members meet one hub
-each, not each other; members that end up in one component need no further comparison.
-Pairs of one key whose components still differ after these rounds are all compared; a
-key with many members asks for agreement in further bands first. So nothing grows with
-the square of a group of copies, and no link between components is lost.
+each, not each other: the member that shares most keys, which stands in the middle of a
+group of copies. Members that end up in one component need no further comparison. What
+then still differs within a key is compared in full. Pairs of small keys are listed once; a crowded
+key's members outside its hub's component meet all its members in blocks of bounded size, which
+give out links only. So no pairs of a group are listed, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ MANTISSA_BITS, MOST_ZEROS = 10, 63
 _SLACK = 0.22
 # Smaller sets are compared without an estimate.
 _FEW = 64
-# Members of a band key above which pairs must agree in a further band.
+# Members of a band key above which they are compared in blocks, and a block's most members and shingles.
 _CROWD = 64
-_HUB_ROUNDS = 3
+_BLOCK_ROWS, _BLOCK_SHINGLES = 512, 300_000
+_HUB_ROUNDS = 2
 
 _ORDERS = np.array([np.random.default_rng(k).permutation(BUCKETS) for k in range(BUCKETS)])
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(57)
@@ -200,83 +202,126 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return known.join(mixed_keys, ["key", "band"], "left_semi")
 
 
+def _hubs(members: DataFrame, turn: int) -> DataFrame:
+    """``key, band, hub``: the most popular member first, then one by chance."""
+    first = F.xxhash64("node", F.lit(turn)) if turn else -F.col("popular")
+    return members.groupBy("key", "band").agg(
+        F.min(F.struct(first.alias("first"), "node", "component")).alias("hub"), F.count("*").alias("size")
+    )
+
+
 def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
     """Each member with the hub of its key, where their components differ."""
-    order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("o"), "node", "component")
-    hubs = members.groupBy("key", "band").agg(F.min(order).alias("hub"))
     return (
-        members.join(hubs, ["key", "band"])
+        members.join(_hubs(members, turn), ["key", "band"])
         .where("component <> hub.component")
         .select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     )
 
 
-def _cross_pairs(members: DataFrame, nodes: DataFrame, percent: int, depth: int = 0) -> DataFrame:
-    """All pairs of one key whose components differ.
+def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a key with few members whose components differ."""
+    def side(name: str) -> DataFrame:
+        return members.select(
+            "key", "band", F.col("node").alias(name), F.col("component").alias(f"c{name}"),
+            F.col("n_shingles").alias(f"n{name}"),
+        )
 
-    A key with more members than ``_CROWD`` is taken with each further band: a pair of
-    similarity 0.8 agrees in two bands but for a chance of 1e-6, in three but for 1e-5.
-    """
-    sized = members.groupBy("key", "band").agg(F.count("*").alias("size"))
-    members = members.join(sized, ["key", "band"])
-    small = members.where(F.col("size") <= _CROWD) if depth < 2 else members
-    a = small.select("key", "band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    b = small.select("key", "band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    pairs = (
-        a.join(b, ["key", "band"])
+    return (
+        side("a").join(side("b"), ["key", "band"])
         .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
         .where(_alike(F.col("na"), F.col("nb"), percent))
-        .select("a", "b")
+        .select("a", "b").distinct()
     )
-    if depth == 2:
-        return pairs
-    crowd = (
-        members.where(F.col("size") > _CROWD)
-        .join(nodes.select("node", "bands"), "node")
-        .select("key", "band", "node", "component", "n_shingles", F.posexplode("bands").alias("next", "value"))
-        .where(F.expr("next > element_at(band, -1)"))
-        .select(
-            F.xxhash64("key", "value").alias("key"),
-            F.concat("band", F.array("next")).alias("band"), "node", "component", "n_shingles",
-        )
+
+
+def _crowd_links(crowd: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components within ``crowd(hub, middle, node, component, n_shingles)``.
+
+    Members outside the hub's component, ``middle``, meet all members of the hub, block by
+    block. A task holds two blocks and gives out verified links.
+    """
+    sizes = crowd.groupBy("hub").agg(
+        F.greatest(
+            F.ceil(F.count("*") / _BLOCK_ROWS), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES)
+        ).alias("blocks")
+    )
+    placed = crowd.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    outside = F.col("component") != F.col("middle")
+    queries = placed.where(outside).select("hub", "node", "component", F.col("block").alias("x"), every.alias("y"), F.lit(True).alias("asks"))
+    asked = queries.select("hub", "x").distinct()
+    others = placed.select("hub", "node", "component", F.col("block").alias("y")).join(asked, "hub").select(
+        "hub", "node", "component", "x", "y", F.lit(False).alias("asks")
     )
-    crowd = stored(crowd, "crowded-keys")
-    if not crowd.limit(1).count():
-        return pairs
-    split = crowd.groupBy("key", "band").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low < high").select("key", "band")
-    return pairs.unionByName(
-        _cross_pairs(crowd.join(split, ["key", "band"], "left_semi"), nodes, percent, depth + 1)
+    wanted = crowd.select("node").distinct()
+    sets = only_likely(texts, "node", bloom(wanted, "node")).join(wanted, "node", "left_semi")
+    tasks = (
+        queries.unionByName(others).join(nodes.select("node", "bands"), "node").join(sets, "node")
+        .select("hub", "x", "y", "asks", "node", "component", "bands", "text")
     )
 
+    def meet(table: pa.Table) -> pa.Table:
+        hashes = WordHashes()
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        node, component = (table.column(c).to_numpy() for c in ("node", "component"))
+        found = [shingle_set(t.as_py(), n, hashes) for t in table.column("text")]
+        size = np.array([len(x) for x in found])
+        marks = np.array(table.column("bands").to_pylist(), np.int64).view(np.uint16).reshape(-1, BUCKETS)
+        links = []
+        right = np.flatnonzero(~asks)
+        for k in np.flatnonzero(asks):
+            near = right[component[right] != component[k]]
+            low, high = np.minimum(size[near], size[k]), np.maximum(size[near], size[k])
+            near = near[100 * low >= percent * high]
+            same = (marks[near] == marks[k]).sum(axis=1) / BUCKETS
+            chance = _CHANCE[min(40, int(max(1, size[k])).bit_length())]
+            likely = ((same - chance) / (1 - chance) >= percent / 100 - _SLACK) | (np.minimum(size[near], size[k]) < _FEW)
+            for other in near[likely]:
+                shared = len(np.intersect1d(found[k], found[other], assume_unique=True))
+                if 100 * shared >= percent * (size[k] + size[other] - shared):
+                    links.append((int(node[k]), int(node[other])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return tasks.groupBy("hub", "x", "y").applyInArrow(meet, "a long, b long")
+
 
 def linked_sets(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """``node, component`` for nodes with a link.
 
     ``nodes(node, n_shingles, bands)`` has a row for each set, ``texts(node, text)`` at least its text.
     """
-    exploded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("place", "key")).select(
-        "key", F.array("place").alias("band"), "node", "n_shingles"
-    )
-    shared = exploded.groupBy("key", "band").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(
-        exploded.join(shared.select("key", "band"), ["key", "band"], "left_semi"), "band-members"
-    )
+    exploded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    keys = ["key", "band"]
+    shared = exploded.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
+    repeated = stored(exploded.join(shared, keys), "band-members")
+    popular = repeated.groupBy("node").agg(F.sum("size").alias("popular"))
+    members = stored(repeated.drop("size").join(popular, "node"), "popular-members")
     links, labels = None, None
-    for turn in range(_HUB_ROUNDS + 1):
+
+    def joined(found: DataFrame | None) -> None:
+        nonlocal links, labels
+        if found is not None:
+            links = found if links is None else links.unionByName(found)
+            labels = connected_components(links)
+
+    for turn in range(_HUB_ROUNDS):
         left = stored(_labelled(members, labels), "open-members")
-        if not left.limit(1).count():
-            break
-        pairs = (
-            _hub_pairs(left, turn) if turn < _HUB_ROUNDS
-            else _cross_pairs(left, nodes, percent).distinct()
-        )
-        found = _verified(pairs, nodes, texts, n, percent)
-        if found is None:
-            continue
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
+        joined(_verified(_hub_pairs(left, turn), nodes, texts, n, percent))
+    left = stored(_labelled(members, labels), "open-members")
+    sized = stored(left.join(_hubs(left, 0), keys), "open-keys")
+    few = sized.where(F.col("size") <= _CROWD).select(left.columns)
+    found = _verified(_small_pairs(few, percent), nodes, texts, n, percent)
+    crowd = stored(
+        sized.where(F.col("size") > _CROWD).select(
+            F.col("hub.node").alias("hub"), F.col("hub.component").alias("middle"), "node", "component", "n_shingles"
+        ).distinct(),
+        "crowded-members",
+    )
+    if crowd.limit(1).count():
+        more = stored(_crowd_links(crowd, nodes, texts, n, percent), "crowd-links")
+        found = more if found is None else found.unionByName(more)
+    joined(found)
     if labels is None:
         labels = members.select("node", F.col("node").alias("component")).limit(0)
     return labels
