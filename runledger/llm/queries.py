@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,34 @@ from runledger.llm.html_text import extract_text
 from runledger.llm.line_dedup import LINES_SQL, dedup_lines
 from runledger.llm.mixing import MIX_SQL, mix
 from runledger.llm.near_duplicates import near_duplicates
+from runledger.llm.pitman_yor import score_texts
 from runledger.llm.quality import judge_quality
+from runledger.llm.token_counts import Vocabulary, count_tokens
 from runledger.llm.toxicity import toxicity
 from runledger.llm.url_filter import URL_SQL, judge_urls
 from runledger.session import ship_package, use_utc
 
 
+# A public model file on the driver; its pieces travel with the job.
+PIECES = os.environ.get("TOKENIZER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document under a unigram vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, Vocabulary.from_sentencepiece(PIECES)).select(
+        "doc_id", "n_tokens", "score", "n_unknown"
+    )
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix by source weights takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -75,6 +98,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": op1_pitman_yor,
+    "op2_token_counts": op2_token_counts,
     "op3_source_mix": op3_source_mix,
     "op4_quality": op4_quality,
     "op5_url_filter": op5_url_filter,
