@@ -39,7 +39,6 @@ _FEW = 64
 # Members of a band key above which they are compared in blocks, and a block's most members and shingles.
 _CROWD = 64
 _BLOCK_ROWS, _BLOCK_SHINGLES = 512, 300_000
-_HUB_ROUNDS = 2
 
 _ORDERS = np.array([np.random.default_rng(k).permutation(BUCKETS) for k in range(BUCKETS)])
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(57)
@@ -202,18 +201,16 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return known.join(mixed_keys, ["key", "band"], "left_semi")
 
 
-def _hubs(members: DataFrame, turn: int) -> DataFrame:
-    """``key, band, hub``: the most popular member first, then one by chance."""
-    first = F.xxhash64("node", F.lit(turn)) if turn else -F.col("popular")
-    return members.groupBy("key", "band").agg(
-        F.min(F.struct(first.alias("first"), "node", "component")).alias("hub"), F.count("*").alias("size")
-    )
+def _hubs(members: DataFrame) -> DataFrame:
+    """``key, band, hub, size``: the hub is the member that shares most keys with others."""
+    first = F.struct((-F.col("popular")).alias("first"), "node", "component")
+    return members.groupBy("key", "band").agg(F.min(first).alias("hub"), F.count("*").alias("size"))
 
 
-def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
+def _hub_pairs(members: DataFrame) -> DataFrame:
     """Each member with the hub of its key, where their components differ."""
     return (
-        members.join(_hubs(members, turn), ["key", "band"])
+        members.join(_hubs(members), ["key", "band"])
         .where("component <> hub.component")
         .select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     )
@@ -305,11 +302,10 @@ def linked_sets(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
             links = found if links is None else links.unionByName(found)
             labels = connected_components(links)
 
-    for turn in range(_HUB_ROUNDS):
-        left = stored(_labelled(members, labels), "open-members")
-        joined(_verified(_hub_pairs(left, turn), nodes, texts, n, percent))
+    alone = members.withColumn("component", F.col("node"))
+    joined(_verified(_hub_pairs(alone), nodes, texts, n, percent))
     left = stored(_labelled(members, labels), "open-members")
-    sized = stored(left.join(_hubs(left, 0), keys), "open-keys")
+    sized = stored(left.join(_hubs(left), keys), "open-keys")
     few = sized.where(F.col("size") <= _CROWD).select(left.columns)
     found = _verified(_small_pairs(few, percent), nodes, texts, n, percent)
     crowd = stored(
