@@ -37,7 +37,7 @@ _SLACK = 0.22
 # Smaller sets are compared without an estimate.
 _FEW = 64
 # Members of a band key above which they are compared in blocks, and a block's most members and shingles.
-_CROWD = 64
+_CROWD = 16
 _BLOCK_ROWS, _BLOCK_SHINGLES = 512, 300_000
 
 _ORDERS = np.array([np.random.default_rng(k).permutation(BUCKETS) for k in range(BUCKETS)])
