@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from runledger.plans import oracle
+from runledger.plans.queries import registered
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registered(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +18,7 @@ def con():
 
 def test_every_query_is_checked():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
