@@ -11,8 +11,11 @@ STOPPED_EXIT = -2
 def decode_flags(flags_json: Column) -> Column:
     """Stored flags as ``map<string,string>``; anything but a JSON object gives an empty map."""
     empty = F.create_map().cast("map<string,string>")
-    # The JSON reader stops after the first value; text behind it makes the whole malformed.
-    whole = F.when(flags_json.rlike(r"\}\s*\z"), F.from_json(flags_json, "map<string,string>"))
+    # The JSON reader stops after the first value. No text behind it can end both a list and an object.
+    strict = {"allowSingleQuotes": "false"}
+    listed = F.from_json(F.concat(F.lit("["), flags_json, F.lit("]")), "array<map<string,string>>", strict)
+    inside = F.from_json(F.concat(F.lit('{"x":'), flags_json, F.lit("}")), "x map<string,string>", strict)
+    whole = F.when((F.size(listed) == 1) & inside["x"].isNotNull(), F.get(listed, 0))
     return F.coalesce(whole, empty)
 
 

@@ -74,26 +74,45 @@ def parse_days(spec: Column) -> Column:
 
     Parts that are neither a number nor a range are left out, and so are days outside 1-366.
     """
+    def number(text: Column) -> Column:
+        # Any number of digits is a number; those of more than four are beyond every day.
+        digits = F.regexp_replace(strip(text), r"\A0+(?=[0-9])", "")
+        return F.when(F.length(digits) > 4, F.lit(9999)).otherwise(digits.try_cast("int"))
+
     def days_of(part: Column) -> Column:
-        low = F.substring_index(part, "-", 1).try_cast("int")
-        high = F.substring_index(part, "-", -1).try_cast("int")
+        low, high = number(F.substring_index(part, "-", 1)), number(F.substring_index(part, "-", -1))
         first, last = F.greatest(low, F.lit(1)), F.least(high, F.lit(366))
-        valid = part.rlike(r"\A[0-9]{1,9}(?:\s*-\s*[0-9]{1,9})?\z") & (first <= last)
+        valid = part.rlike(r"\A[0-9]+(?:\s*-\s*[0-9]+)?\z") & (first <= last)
         return F.when(valid, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
     parts = F.transform(F.split(spec, ","), lambda p: days_of(strip(p)))
     return F.sort_array(F.array_distinct(F.flatten(parts)))
 
 
+def _names_both(spec: str, single: str) -> Column:
+    return F.col(single).isNotNull() & F.coalesce(strip(F.col(spec)) != "", F.lit(False))
+
+
 def day_list(requests: DataFrame, spec: str = "days", single: str | None = None) -> DataFrame:
-    """One row per requested day, as ``doy``.
+    """One row per requested day from 1 to 366, as ``doy``.
 
-    A single day and a list exclude each other: requests with both are dropped.
+    A single day and a list exclude each other: ``refused_days`` has the requests that name
+    both, or a single day that is none.
     """
     days = parse_days(F.col(spec))
     if single is not None:
-        one = F.col(single).isNotNull()
-        many = F.coalesce(strip(F.col(spec)) != "", F.lit(False))
-        requests = requests.where(~(one & many))
-        days = F.when(one, F.array(F.col(single).cast("int"))).otherwise(days)
+        one = F.col(single).try_cast("int")
+        alone = F.when(one.between(1, 366), F.array(one)).otherwise(F.array().cast("array<int>"))
+        requests = requests.where(~_names_both(spec, single))
+        days = F.when(F.col(single).isNotNull(), alone).otherwise(days)
     return requests.withColumn("doy", F.explode(days))
+
+
+def refused_days(requests: DataFrame, spec: str = "days", single: str = "day") -> DataFrame:
+    """Requests that ``day_list`` gives no day for, with the ``reason``."""
+    one = F.col(single).try_cast("int")
+    reason = (
+        F.when(_names_both(spec, single), "a single day and a list exclude each other")
+        .when(F.col(single).isNotNull() & ~F.coalesce(one.between(1, 366), F.lit(False)), "the day is not from 1 to 366")
+    )
+    return requests.withColumn("reason", reason).where("reason IS NOT NULL")

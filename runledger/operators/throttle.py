@@ -185,13 +185,13 @@ def throttle(
     """
     if interval_sec is None:
         interval = registry.interval_us(F.col("converter"))
-        always = min(
-            [registry.default_interval_sec, *map(registry.interval_of, registry.converters)]
-        ) > 0
+        shortest = min([registry.default_interval_sec, *map(registry.interval_of, registry.converters)])
+        always = round(shortest * 1_000_000) > 0
     else:
-        if interval_sec <= 0:
+        rounded = round(interval_sec * 1_000_000)
+        if rounded <= 0:
             return lines
-        interval = F.lit(round(interval_sec * 1_000_000)).cast("bigint")
+        interval = F.lit(rounded).cast("bigint")
         always = True
     timed = lines.withColumn("interval_us", interval)
     free = None

@@ -31,9 +31,12 @@ class View:
     def stream(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """The same rows as a stream; files that arrive later would follow."""
         file = f"{self.table}.parquet"
-        schema = spark.read.parquet(f"{sf_dir}/{file}").schema
-        reader = spark.readStream.schema(schema).option("pathGlobFilter", file)
-        return self.of(reader.option("maxFilesPerTrigger", 16).parquet(sf_dir))
+        rows = spark.read.parquet(f"{sf_dir}/{file}")
+        reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16)
+        # A stream watches a folder: the table's own, or the one its single file is in.
+        if any(name.endswith(f"/{file}") for name in rows.inputFiles()):
+            return self.of(reader.option("pathGlobFilter", file).parquet(sf_dir))
+        return self.of(reader.parquet(f"{sf_dir}/{file}"))
 
 
 _FINISHED = (

@@ -188,3 +188,32 @@ def test_pending(spark):
     source = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "path STRING")
     target = spark.createDataFrame([("a",), ("a",), ("z",)], "path STRING")
     assert sorted(r.path for r in convert.pending(source, target, ["path"]).collect()) == ["b", "b", "c"]
+
+
+def test_day_numbers_of_any_length_and_refusals(spark):
+    from runledger.operators.samples import day_list, refused_days
+
+    rows = [(1, "364-10000000000", None), (2, "0000000001-3", None), (3, "1,2", "5"), (4, None, "500"), (5, None, "x"), (6, "", "7")]
+    requests = spark.createDataFrame(rows, "id int, days string, day string")
+    days = sorted((r.id, r.doy) for r in day_list(requests, single="day").collect())
+    assert days == [(1, 364), (1, 365), (1, 366), (2, 1), (2, 2), (2, 3), (6, 7)]
+    assert sorted(r.id for r in refused_days(requests).collect()) == [3, 4, 5]
+
+
+def test_only_whole_json_objects_are_flags(spark):
+    from pyspark.sql import functions as F
+    from runledger.functions.runs import decode_flags
+
+    texts = ['{"a": 1} junk }', '{"a": 1}{"b": 2}', "{'a': 1}", '{"a": 1}]', '{"a": 1}, {"b": 2}', "null", "[]", None, ' {"a": 1} ']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(decode_flags(F.col("t")).alias("f")).collect()
+    assert [r.f for r in rows] == [{}] * 8 + [{"a": "1"}]
+
+
+def test_streams_read_folder_tables(spark, tmp_path):
+    from runledger.plans.queries import registered
+
+    for name in ("orders", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    query = registered()["outcome_stream"]
+    folder, file = (sorted(map(str, query(spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001"))
+    assert folder == file and len(folder) > 0
