@@ -67,10 +67,13 @@ def parquet_to_dat(
 ) -> None:
     """Writes Parquet samples as text.
 
-    Site days found in the target are skipped, or with ``overwrite`` written anew.
+    Samples whose line stands in the target's site day already are skipped, so those that
+    come later for a known site day are added. With ``overwrite`` site days are written anew.
     """
     rows = dat.read_samples(spark, src)
-    stored = None if overwrite else dat.if_stored(lambda: dat.read_dat(spark, dst, schema))
+    stored = None if overwrite else dat.if_stored(lambda: dat.stored_lines(spark, dst))
     if stored is not None:
-        rows = pending(rows, stored, dat.PARTITIONS, _SPREAD)
+        # Compared by line, so that a large site day spreads over many tasks.
+        lined = rows.withColumn("value", dat.dat_line(rows, schema))
+        rows = lined.join(stored, [*dat.PARTITIONS, "value"], "left_anti").select(rows.columns)
     dat.write_dat(rows, dst, schema, replace_folders=overwrite)

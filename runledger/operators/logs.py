@@ -120,6 +120,26 @@ def idle_beats(lines: DataFrame, idle_seconds: float = IDLE_SECONDS) -> DataFram
     )
 
 
+def closing_beats(
+    lines: DataFrame, ended: DataFrame, idle_seconds: float = IDLE_SECONDS
+) -> DataFrame:
+    """``(job_id, ts, beats)``: full idle periods right before the end of a run, where any.
+
+    They count from its last line, or from ``started_at`` where it has none and ``ended``
+    has that column. Lines shrink to one per run before any shuffle.
+    """
+    last = non_empty(lines).groupBy("job_id").agg(F.max(micros(F.col("ts"))).alias("last_us"))
+    start = micros(F.col("started_at")) if "started_at" in ended.columns else F.lit(None)
+    idle_us = F.lit(round(idle_seconds * 1_000_000))
+    return (
+        ended.select("job_id", "ts", start.cast("bigint").alias("start_us"))
+        .join(last, "job_id", "left")
+        .withColumn("pause_us", micros(F.col("ts")) - F.coalesce("last_us", "start_us"))
+        .where(F.col("pause_us") >= idle_us)
+        .select("job_id", "ts", F.floor(F.col("pause_us") / idle_us).cast("bigint").alias("beats"))
+    )
+
+
 def parse_tail(tail: str | int) -> int | None:
     """Number of lines to replay, None for all. Negative counts mean none."""
     if tail == "all":
@@ -197,8 +217,8 @@ def job_events(
 
     Per line: ``heartbeat`` (``num`` idle periods before it), ``log`` when the line is shown,
     ``progress`` when it tops all before. ``ended`` has ``job_id, ts, exit_code`` and
-    ``error`` (text or NULL) and adds the closing ``error`` and ``done``, which have no
-    ``seq``. Order by ``job_id, seq`` (nulls last), ``sub``.
+    ``error`` (text or NULL), and ``started_at`` where known, and adds the beats before the
+    end and the closing ``error`` and ``done``, which have no ``seq``. Order by ``job_id, seq`` (nulls last), ``sub``.
     """
     nothing = F.lit(None)
     feed = _events(
@@ -222,4 +242,6 @@ def job_events(
     done = closing(SUB_DONE, "done", nothing, code)
     error = closing(SUB_ERROR, "error", F.col("error"), nothing)
     last = F.when(F.col("error").isNull(), F.array(done)).otherwise(F.array(error, done))
+    beats = closing_beats(lines, ended, idle_seconds).withColumn("seq", nothing.cast("bigint"))
+    feed = feed.unionByName(_events(beats, SUB_HEARTBEAT, "heartbeat", nothing, F.col("beats")))
     return feed.unionByName(ended.select("job_id", F.inline(last)))

@@ -79,6 +79,9 @@ ended AS (SELECT * FROM job_runs WHERE finished_at IS NOT NULL)
 SELECT job_id, CAST(seq AS BIGINT) AS seq, CAST(0 AS INTEGER) AS sub, ts, 'heartbeat' AS event_type, CAST(NULL AS VARCHAR) AS text, CAST(beats AS INTEGER) AS num FROM ({_BEATS})
 UNION ALL SELECT job_id, seq, 1, ts, 'log', line, NULL FROM shown
 UNION ALL SELECT job_id, seq, 2, ts, 'progress', NULL, progress FROM ({_MONOTONIC})
+UNION ALL SELECT id, NULL, 0, finished_at, 'heartbeat', NULL, CAST(pause // 15000000 AS INTEGER) FROM (
+ SELECT id, finished_at, epoch_us(finished_at) - coalesce(last_us, epoch_us(CAST(started_at AS TIMESTAMP))) AS pause
+ FROM ended LEFT JOIN (SELECT job_id, max(epoch_us(ts)) AS last_us FROM {_LINES} GROUP BY job_id) ON job_id = id) WHERE pause >= 15000000
 UNION ALL SELECT id, NULL, 3, finished_at, 'error', 'container not found', NULL FROM ended WHERE exit_code = -1
 UNION ALL SELECT id, NULL, 4, finished_at, 'done', NULL, coalesce(exit_code, -1) FROM ended"""
 

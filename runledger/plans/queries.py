@@ -190,7 +190,7 @@ def job_events(spark: SparkSession, sf: str) -> DataFrame:
     runs = view("job_runs", spark, sf).where(F.col("finished_at").isNotNull())
     lost = F.col("exit_code") == UNKNOWN_EXIT
     ended = runs.select(
-        F.col("id").alias("job_id"), F.col("finished_at").alias("ts"), "exit_code",
+        F.col("id").alias("job_id"), F.col("finished_at").alias("ts"), "exit_code", "started_at",
         F.when(lost, "container not found").alias("error"),
     )
     return logs.job_events(

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 from runledger import schemas
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root as the file system writes it: absolute, without dots or doubled slashes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/")
+
+
 def scan_archive(spark: SparkSession, root: str | None) -> DataFrame:
     """``(path, is_dir)`` of all files below a root, paths relative to it.
 
@@ -25,10 +32,9 @@ def scan_archive(spark: SparkSession, root: str | None) -> DataFrame:
         if exc.getCondition() == "PATH_NOT_FOUND":
             return nothing
         raise
-    # Stored paths carry a scheme; a root that is itself a file has nothing below it.
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    found = F.locate(f"/{base}/", F.col("path"))
-    start = found + len(base) + 2
-    return files.where(found > 0).select(
-        F.col("path").substr(start, F.length("path")).alias("path"), F.lit(False).alias("is_dir")
-    )
+    # Listed paths are absolute and carry a scheme. A root that is itself a file has nothing below it.
+    base = _qualified(spark, root)
+    path = F.col("path")
+    outside = F.raise_error(F.concat(F.lit(f"listed file is not below {base}: "), path))
+    below = F.when(path.startswith(f"{base}/"), path.substr(len(base) + 2, 1 << 30)).otherwise(outside)
+    return files.where(path != base).select(below.alias("path"), F.lit(False).alias("is_dir"))

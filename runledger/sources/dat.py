@@ -20,6 +20,8 @@ from runledger.session import temporary_conf
 PARTITIONS = ["year", "doy", "site"]
 
 _NULL = "-"
+# Files that hold samples: those that came as DAT and those ``write_dat`` left.
+_FILES = "{*.dat,part-*.txt*}"
 _LAYOUT = r"((?:year=)?([0-9]{4})/(?:doy=)?([0-9]{1,3})/(site=)?([^/]+)/[^/]+)\z"
 
 
@@ -36,13 +38,18 @@ def _field(name: str, kind: T.DataType) -> Column:
     return F.coalesce(text, F.lit(_NULL))
 
 
-def format_dat(samples: DataFrame, schema: T.StructType) -> DataFrame:
-    """Partition columns and ``value``, the text line of each sample."""
+def dat_line(samples: DataFrame, schema: T.StructType) -> Column:
+    """The text line of a sample."""
     line = F.concat_ws(" ", *[_field(f.name, f.dataType) for f in schema])
     if "bad_line" in samples.columns:
         # Lines that could not be read go back as they came.
         line = F.coalesce(F.col("bad_line"), line)
-    return samples.select(*PARTITIONS, line.alias("value"))
+    return line
+
+
+def format_dat(samples: DataFrame, schema: T.StructType) -> DataFrame:
+    """Partition columns and ``value``, the text line of each sample."""
+    return samples.select(*PARTITIONS, dat_line(samples, schema).alias("value"))
 
 
 def parse_dat(lines: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
@@ -80,21 +87,44 @@ def _site(path: Column) -> Column:
 def read_dat(
     spark: SparkSession, root: str, schema: T.StructType, subpath: str = ""
 ) -> DataFrame:
-    """Samples of all files below a root, or below one folder of it.
+    """Samples of the DAT files below a root, or below one folder of it.
 
-    Adds ``year, doy, site`` and ``rel_path``, taken from the place of the file.
+    Adds ``year, doy, site`` and ``rel_path``, taken from the place of the file. Files with
+    other names are not samples; ``misplaced_files`` lists DAT files outside the layout.
     """
+    return parse_dat(_dat_lines(spark, root, subpath), schema)
+
+
+def misplaced_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` of DAT files below a root whose folders name no year, day and site.
+
+    ``read_dat`` cannot place their samples. Contents are not read.
+    """
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", _FILES).load(root)
+    )
+    return files.where(~F.col("path").rlike(_LAYOUT)).select("path")
+
+
+def _dat_lines(spark: SparkSession, root: str, subpath: str = "") -> DataFrame:
     folder = root.rstrip("/") + ("/" + subpath.strip("/") if subpath.strip("/") else "")
-    raw = spark.read.option("recursiveFileLookup", "true").text(folder)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _FILES)
+    raw = reader.text(folder)
     path = F.col("_metadata.file_path")
-    placed = raw.select(
+    return raw.select(
         F.regexp_extract(path, _LAYOUT, 2).try_cast("int").alias("year"),
         F.regexp_extract(path, _LAYOUT, 3).try_cast("int").alias("doy"),
         _site(path).alias("site"),
         F.regexp_extract(path, _LAYOUT, 1).alias("rel_path"),
         "value",
     ).where(F.col("year").isNotNull())
-    return parse_dat(placed, schema)
+
+
+def stored_lines(spark: SparkSession, root: str) -> DataFrame:
+    """``year, doy, site, value``: the different lines of stored DAT files, as they stand."""
+    text = F.btrim(F.col("value"), F.lit(" \t\r\n"))
+    return _dat_lines(spark, root).select(*PARTITIONS, text.alias("value")).distinct()
 
 
 def _save(samples: DataFrame, path: str, kind: str, replace_folders: bool) -> None:

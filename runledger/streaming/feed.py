@@ -45,17 +45,17 @@ class FollowRun(StatefulProcessor):
     """Turns the lines of one run, in order of ``seq``, into feed events.
 
     Idle beats come from the pause before a line. With ``live_beats`` they come from the
-    clock instead, while a run is silent, until ``give_up_seconds`` have passed; then the
-    run is forgotten.
+    clock instead, while a run is silent; ``give_up_seconds`` of silence end its beats until
+    its next line, where a limit is given. What is known of the run stays.
     """
 
     def __init__(
-        self, idle_seconds: float, live_beats: bool, give_up_seconds: float,
+        self, idle_seconds: float, live_beats: bool, give_up_seconds: float | None,
         forget_after_seconds: float | None,
     ) -> None:
         self.idle_us = round(idle_seconds * 1_000_000)
         self.live_beats = live_beats
-        self.most_beats = int(give_up_seconds // idle_seconds)
+        self.most_beats = None if give_up_seconds is None else int(give_up_seconds // idle_seconds)
         self.ttl_ms = None if forget_after_seconds is None else round(forget_after_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -98,11 +98,9 @@ class FollowRun(StatefulProcessor):
         allowed, best, last, beats = self.state.get()
         beats += 1
         expiry = expiredTimerInfo.getExpiryTimeInMs()
-        if beats < self.most_beats:
-            self.state.update((allowed, best, last, beats))
+        self.state.update((allowed, best, last, beats))
+        if self.most_beats is None or beats < self.most_beats:
             self.handle.registerTimer(expiry + self.idle_us // 1000)
-        else:
-            self.state.clear()
         yield _frame([(key[0], None, SUB_HEARTBEAT, expiry * 1000, "heartbeat", None, 1)])
 
     def close(self) -> None:
@@ -123,7 +121,7 @@ def follow(
     interval_sec: float | None = None,
     idle_seconds: float = IDLE_SECONDS,
     live_beats: bool = False,
-    give_up_seconds: float = 3600,
+    give_up_seconds: float | None = None,
     forget_after_seconds: float | None = None,
 ) -> DataFrame:
     """Streaming feed with the rows of ``logs.job_events``, but for the closing events.

@@ -64,3 +64,12 @@ def test_names_that_do_not_count(spark):
     assert tree_of(df) == [
         ("2024_original", [("003", 2), ("004", 0), ("006", 0)]), ("2022_original", []),
     ]
+
+
+def test_roots_of_any_form(spark, tmp_path):
+    (tmp_path / "x" / "arch" / "arch").mkdir(parents=True)
+    (tmp_path / "x" / "arch" / "arch" / "a.zip").write_text("x")
+    base = str(tmp_path)
+    for root in (f"{base}/x//arch", f"{base}/x/./arch", f"{base}/x/arch/../arch", f"file:{base}/x/arch"):
+        assert [r.path for r in scan_archive(spark, root).collect()] == ["arch/a.zip"]
+    assert scan_archive(spark, f"{base}/x/arch/arch/a.zip").count() == 0

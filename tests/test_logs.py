@@ -259,3 +259,15 @@ def test_stream_of_new_files_only(spark, tmp_path):
 def test_log_bytes(spark):
     raw = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(TEXT.split(b"\n"))], "seq LONG, raw BINARY")
     assert [r.line for r in lines_from_bytes(raw).orderBy("seq").collect()] == EXPECTED
+
+
+def test_beats_before_the_end(spark):
+    s = 1_000_000
+    lines = lines_df(spark, [(1, 0, 0, "tec-suite", "x"), (1, 1, s, "tec-suite", "y"), (2, 0, 0, "tec-suite", "x")])
+    after = {job: EPOCH + dt.timedelta(seconds=n) for job, n in ((1, 61), (2, 14), (3, 30), (4, 30))}
+    ended = spark.createDataFrame(
+        [(1, after[1], EPOCH), (2, after[2], EPOCH), (3, after[3], EPOCH), (4, after[4], None)],
+        "job_id LONG, ts TIMESTAMP, started_at TIMESTAMP",
+    )
+    got = sorted((r.job_id, r.beats) for r in logs.closing_beats(lines, ended).collect())
+    assert got == [(1, 4), (3, 2)]

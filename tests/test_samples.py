@@ -217,3 +217,23 @@ def test_streams_read_folder_tables(spark, tmp_path):
     query = registered()["outcome_stream"]
     folder, file = (sorted(map(str, query(spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001"))
     assert folder == file and len(folder) > 0
+
+
+def test_later_samples_of_a_known_day_are_added(spark, df, tmp_path):
+    parquet, text = str(tmp_path / "parquet"), str(tmp_path / "text")
+    first = df.orderBy("site", "ts", "sat").limit(1)
+    dat.write_samples(first, parquet)
+    convert.parquet_to_dat(spark, parquet, text, schemas.SAMPLES)
+    dat.write_samples(df.join(first, df.columns, "left_anti"), parquet)
+    for _ in range(2):
+        convert.parquet_to_dat(spark, parquet, text, schemas.SAMPLES)
+        assert bag(dat.read_dat(spark, text, schemas.SAMPLES)) == bag(dat.read_samples(spark, parquet))
+
+
+def test_only_dat_files_are_samples(spark, tmp_path):
+    root = str(tmp_path / "in")
+    write(root, "2024/007/aksu/a.dat", "2024-01-07T00:00:00 G01 10 1")
+    write(root, "2024/007/aksu/notes.txt", "2024-01-07T00:00:00 G02 10 1")
+    write(root, "2024/flat.dat", "2024-01-07T00:00:00 G03 10 1")
+    assert [r.sat for r in dat.read_dat(spark, root, schemas.SAMPLES).collect()] == ["G01"]
+    assert [r.path.split("/")[-1] for r in dat.misplaced_files(spark, root).collect()] == ["flat.dat"]
