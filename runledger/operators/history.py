@@ -80,27 +80,39 @@ def visibility_grants(runs: DataFrame, users: DataFrame) -> DataFrame:
     return owned.select(F.col("id").alias("run_id"), F.inline(grants))
 
 
-def check_access(requests: DataFrame, runs: DataFrame, users: DataFrame) -> DataFrame:
+def _has_container() -> Column:
+    """Does a run have a container? An empty id is none."""
+    return F.coalesce(F.col("container_id") != "", F.lit(False))
+
+
+def check_access(
+    requests: DataFrame, runs: DataFrame, users: DataFrame, to_follow: bool = False
+) -> DataFrame:
     """Adds ``decision`` to ``(viewer_id, run_id)`` requests.
 
     ``no_session`` for unknown or inactive viewers, ``not_found`` for unknown runs, then
-    ``allowed`` for admins and owners and ``denied`` for the rest.
+    ``allowed`` for admins and owners and ``denied`` for the rest. Requests ``to_follow`` a
+    run's log are ``no_container`` instead of allowed where the run has none.
     """
-    owners = runs.select(F.col("id").alias("run_id"), F.col("user_id").alias("owner_id"))
+    attached = _has_container() if to_follow else F.lit(True)
+    owners = runs.select(
+        F.col("id").alias("run_id"), F.col("user_id").alias("owner_id"), attached.alias("_attached")
+    )
     viewers = users.where("is_active").select(
         F.col("id").alias("viewer_id"), (F.col("role") == "admin").alias("is_admin")
     )
     decision = (
         F.when(F.col("is_admin").isNull(), "no_session")
         .when(F.col("owner_id").isNull(), "not_found")
-        .when(F.col("is_admin") | (F.col("owner_id") == F.col("viewer_id")), "allowed")
-        .otherwise("denied")
+        .when(~(F.col("is_admin") | (F.col("owner_id") == F.col("viewer_id"))), "denied")
+        .when(~F.col("_attached"), "no_container")
+        .otherwise("allowed")
     )
     return (
         requests.join(owners, "run_id", "left")
         .join(viewers, "viewer_id", "left")
         .withColumn("decision", decision)
-        .drop("owner_id", "is_admin")
+        .drop("owner_id", "is_admin", "_attached")
     )
 
 
@@ -212,18 +224,28 @@ def end_writes(ended: DataFrame, pri: int = PRI_DONE) -> DataFrame:
     )
 
 
-def stop_writes(decided: DataFrame, state: DataFrame) -> DataFrame:
+def launch_failure_writes(failures: DataFrame) -> DataFrame:
+    """The writes of launches that failed, ``(run_id, ts)``: an error without a known exit code."""
+    return end_writes(failures.select(
+        "run_id", F.col("ts").alias("finished_at"), F.lit("error").alias("status"),
+        F.lit(R.UNKNOWN_EXIT).alias("exit_code"),
+    ))
+
+
+def stop_writes(decided: DataFrame, state: DataFrame, runs: DataFrame) -> DataFrame:
     """Writes for requests to stop a run: ``decided`` comes from ``check_access`` with ``ts``.
 
-    Only allowed requests on runs that are still running write anything, the first one
-    per run.
+    Only allowed requests on runs that have a container and are still running write
+    anything, the first one per run.
     """
     asked = (
         decided.where(F.col("decision") == "allowed")
         .groupBy("run_id").agg(F.min("ts").alias("finished_at"))
     )
     running = state.where(F.col("status") == "running").select("run_id")
-    stopped = asked.join(running, "run_id", "left_semi").select(
+    attached = runs.where(_has_container()).select(F.col("id").alias("run_id"))
+    stoppable = running.join(attached, "run_id", "left_semi")
+    stopped = asked.join(stoppable, "run_id", "left_semi").select(
         "run_id", "finished_at", F.lit("failed").alias("status"),
         F.lit(R.STOPPED_EXIT).alias("exit_code"),
     )

@@ -115,6 +115,7 @@ VIEWS = {
         "user_id": "o_custkey",
         "converter": _CONVERTER,
         "flags_json": _FLAGS,
+        "container_id": "CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 5 THEN '' ELSE concat('c', CAST(o_orderkey AS STRING)) END",
         "started_at": "o_orderdate",
         "finished_at": _FINISHED,
         "exit_code": _EXIT_CODE,

@@ -181,6 +181,10 @@ _SQL: dict[str, tuple[str, str]] = {
     "run_access": ("access_requests job_runs users", """SELECT a.viewer_id, a.run_id, a.line, CASE WHEN u.id IS NULL THEN 'no_session'
  WHEN r.id IS NULL THEN 'not_found' WHEN u.role = 'admin' OR r.user_id = u.id THEN 'allowed' ELSE 'denied' END AS decision
  FROM access_requests a LEFT JOIN users u ON u.id = a.viewer_id AND u.is_active LEFT JOIN job_runs r ON r.id = a.run_id"""),
+    "follow_access": ("access_requests job_runs users", """SELECT a.viewer_id, a.run_id, a.line, CASE WHEN u.id IS NULL THEN 'no_session'
+ WHEN r.id IS NULL THEN 'not_found' WHEN u.role <> 'admin' AND r.user_id <> u.id THEN 'denied'
+ WHEN coalesce(r.container_id, '') = '' THEN 'no_container' ELSE 'allowed' END AS decision
+FROM access_requests a LEFT JOIN users u ON u.id = a.viewer_id AND u.is_active LEFT JOIN job_runs r ON r.id = a.run_id"""),
     "runs_of_active_users": ("job_runs users", """SELECT id, user_id, converter FROM job_runs
  WHERE user_id IN (SELECT id FROM users WHERE is_active)"""),
     "run_enriched": ("job_runs users", f"SELECT id, username, label, duration_seconds FROM ({_HISTORY})"),
@@ -214,7 +218,7 @@ _SQL: dict[str, tuple[str, str]] = {
  FROM (SELECT *, CASE WHEN id % 5 = 0 THEN -1 ELSE exit_code END AS code FROM job_runs)"""),
     "run_stops": ("access_requests job_runs users", """SELECT DISTINCT r.id AS run_id, 'failed' AS status, CAST(-2 AS INTEGER) AS exit_code
  FROM access_requests a JOIN job_runs r ON r.id = a.run_id JOIN users u ON u.id = a.viewer_id AND u.is_active
- WHERE r.finished_at IS NULL AND r.id % 7 <> 0 AND (u.role = 'admin' OR u.id = r.user_id)"""),
+ WHERE r.finished_at IS NULL AND r.id % 7 <> 0 AND coalesce(r.container_id, '') <> '' AND (u.role = 'admin' OR u.id = r.user_id)"""),
     "archive_days": ("file_manifest", _DAYS_COUNTED),
     "archive_tree": ("file_manifest", f"""SELECT year, string_agg(day || ':' || CAST(stations AS VARCHAR), ','
  ORDER BY CAST(day AS INTEGER), length(day), day) AS days FROM ({_DAYS_COUNTED}) GROUP BY year"""),

@@ -67,6 +67,14 @@ def run_access(spark: SparkSession, sf: str) -> DataFrame:
     ).select("viewer_id", "run_id", "line", "decision")
 
 
+def follow_access(spark: SparkSession, sf: str) -> DataFrame:
+    """Who may follow which run's log; runs without a container have none."""
+    return history.check_access(
+        view("access_requests", spark, sf), view("job_runs", spark, sf), view("users", spark, sf),
+        to_follow=True,
+    ).select("viewer_id", "run_id", "line", "decision")
+
+
 def runs_of_active_users(spark: SparkSession, sf: str) -> DataFrame:
     rows = history.runs_of_active_users(view("job_runs", spark, sf), view("users", spark, sf))
     return rows.select("id", "user_id", "converter")
@@ -235,7 +243,7 @@ def run_stops(spark: SparkSession, sf: str) -> DataFrame:
     )
     runs, users = view("job_runs", spark, sf), view("users", spark, sf)
     state = history.current_state(state_writes(runs))
-    rows = history.stop_writes(history.check_access(asked, runs, users), state)
+    rows = history.stop_writes(history.check_access(asked, runs, users), state, runs)
     return rows.select("run_id", "status", "exit_code")
 
 
@@ -348,6 +356,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_totals": history_totals,
     "run_visibility": run_visibility,
     "run_access": run_access,
+    "follow_access": follow_access,
     "runs_of_active_users": runs_of_active_users,
     "run_enriched": run_enriched,
     "run_flags": run_flags,

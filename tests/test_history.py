@@ -151,11 +151,33 @@ def test_stops(spark, runs, users):
             "id AS run_id", "finished_at", "'success' AS status", "exit_code"))
     )
     state = history.current_state(writes)
-    stops = history.stop_writes(history.check_access(asked, runs, users), state)
+    attached = runs.withColumn("container_id", F.lit("c1"))
+    decided = history.check_access(asked, runs, users)
+    stops = history.stop_writes(decided, state, attached)
     got = {r.run_id: (r.status, r.exit_code, r.finished_at) for r in stops.collect()}
     assert got == {30: ("failed", -2, T0), 31: ("failed", -2, T0 + dt.timedelta(hours=1))}
     after = history.current_state(writes.unionByName(stops)).where("run_id IN (0, 30)")
     assert {r.run_id: r.status for r in after.collect()} == {0: "success", 30: "failed"}
+    for none in (F.lit(None).cast("string"), F.lit("")):
+        assert history.stop_writes(decided, state, runs.withColumn("container_id", none)).isEmpty()
+
+
+def test_following_needs_a_container(spark, runs, users):
+    only_three = runs.withColumn("container_id", F.when(F.col("id") == 3, "c3").when(F.col("id") == 4, ""))
+    requests = spark.createDataFrame(
+        [(1, 3), (2, 3), (4, 3), (1, 4), (2, 5), (4, 5), (1, 99), (3, 3)], "viewer_id LONG, run_id LONG"
+    )
+    decided = history.check_access(requests, only_three, users, to_follow=True)
+    assert {(r.viewer_id, r.run_id): r.decision for r in decided.collect()} == {
+        (1, 3): "allowed", (2, 3): "allowed", (4, 3): "denied", (1, 4): "no_container",
+        (2, 5): "no_container", (4, 5): "denied", (1, 99): "not_found", (3, 3): "no_session"}
+
+
+def test_a_failed_launch_is_an_error(spark, runs):
+    failures = spark.createDataFrame([(30, T0)], "run_id LONG, ts TIMESTAMP")
+    writes = history.start_writes(runs).unionByName(history.launch_failure_writes(failures))
+    state = history.current_state(writes).where("run_id = 30").first()
+    assert (state.status, state.exit_code, state.finished_at) == ("error", -1, T0)
 
 
 def test_new_runs_are_stored_as_running(spark, tmp_path):
