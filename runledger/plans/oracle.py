@@ -8,6 +8,8 @@ from __future__ import annotations
 from runledger.plans.bridge import SITES, with_views
 from runledger.plans.queries import ADMIN_ID, OPERATOR_ID, THROTTLE_SEC
 
+# Labels, log patterns and, below, the flag table of the three converters, stated
+# a second time so that the check does not depend on the registry.
 _LABEL = """CASE converter WHEN 'tec-suite' THEN 'TEC-Suite' WHEN 'dat-parquet-handler' THEN 'DAT <-> Parquet'
  WHEN 'abstec-suite' THEN 'AbsTEC Suite' ELSE converter END"""
 _DURATION = "round((epoch_us(finished_at) - epoch_us(started_at)) / 1000000.0, 6)"
@@ -105,7 +107,7 @@ _ENTRIES = """(SELECT split_part(path, '/', 1) AS year, split_part(path, '/', 2)
 _DAYS_COUNTED = f"""SELECT year, day, count(*) FILTER (WHERE regexp_full_match(name, '.+\\.[zZ][iI][pP]')) AS stations
  FROM {_ENTRIES} WHERE regexp_full_match(year, '[0-9]{{4}}_original') AND regexp_full_match(day, '[0-9]{{2,3}}') GROUP BY year, day"""
 
-# converter, ordinal, flag, kind, form key, default, mount
+# Converter, ordinal, flag, kind, form key, default, mount.
 _FLAG_TABLE = [
     ("tec-suite", 0, "-r", "volume", "root", "", "/data/rinex"),
     ("tec-suite", 1, "-j", "number", "jobs", "4", ""),

@@ -167,6 +167,7 @@ _ABS_FLAGS = (
 
 
 def default_registry() -> Registry:
+    # Labels, fixed arguments, intervals and the rule for folders below the root.
     return Registry(
         (
             Converter(_SUITE, "TEC-Suite", _SUITE_PATTERNS, _SUITE_FLAGS,

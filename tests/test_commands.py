@@ -6,6 +6,7 @@ from runledger import default_registry
 from runledger.operators import commands, requests
 
 REGISTRY = default_registry()
+# The arguments that the converters expect.
 FORM = {"root": "N:\\RINEX", "root_subpath": "/2026_original/001", "jobs": "10", "verbose": True,
         "cleanup": True}
 TAIL = ["-c", "/app/tecs.cfg", "-t", "/app/tecs.py"]

@@ -5,6 +5,7 @@ from runledger.functions import runs as R
 from runledger.functions.progress import matches_any, percent
 from runledger.functions.text import integer_text, is_yes, join_path, strip
 
+# These log patterns and the first cases below, which state the expected progress.
 PATTERNS = [
     r"Day\s+(\d+)\s*/\s*(\d+)", r"Processing.*?(\d+)\s*/\s*(\d+)",
     r"(\d+)\s*/\s*(\d+)\s+days", r"(-?\d+)\s*%",

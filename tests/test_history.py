@@ -14,21 +14,21 @@ T0 = dt.datetime(2026, 1, 1)
 @pytest.fixture(scope="module")
 def users(spark):
     return spark.createDataFrame(
-        [(1, "test_admin", "admin", True), (2, "test_operator", "operator", True),
-         (3, "test_inactive", "operator", False), (4, "idle", "operator", True)],
+        [(1, "ada", "admin", True), (2, "oleg", "operator", True),
+         (3, "gone", "operator", False), (4, "idle", "operator", True)],
         "id LONG, username STRING, role STRING, is_active BOOLEAN",
     )
 
 
 @pytest.fixture(scope="module")
 def runs(spark):
-    """Thirty runs of the operator, one of the admin, one of a user that is gone."""
-    flags = '{"jobs": 4, "verbose": true, "cleanup": true}'
+    """Forty runs of the operator, three at a time, one of the admin, one of an unknown user."""
+    starts = [T0 + dt.timedelta(hours=i // 3) for i in range(40)]
     rows = [
-        (i, 2, "tec-suite", flags, T0 + dt.timedelta(minutes=i // 2), T0 + dt.timedelta(minutes=i // 2, seconds=120), 0)
-        for i in range(30)
+        (i, 2, "tec-suite", '{"jobs": %d}' % i, start, start + dt.timedelta(seconds=40 + i), 0)
+        for i, start in enumerate(starts)
     ]
-    rows += [(30, 1, "retired-tool", flags, T0, None, None), (31, 9, "abstec-suite", flags, T0, None, None)]
+    rows += [(40, 1, "retired-tool", "{}", T0, None, None), (41, 9, "abstec-suite", None, T0, None, None)]
     return spark.createDataFrame(
         rows, "id LONG, user_id LONG, converter STRING, flags_json STRING,"
         " started_at TIMESTAMP, finished_at TIMESTAMP, exit_code INT",
@@ -43,13 +43,13 @@ def test_pages(runs, users):
     def page(viewer, admin, n, per_page=25):
         return ids(history.history_page(runs, users, REGISTRY, viewer, admin, n, per_page))
 
-    assert page(2, False, 1) == list(range(29, 4, -1))
-    assert page(2, False, 2) == [4, 3, 2, 1, 0]
+    assert page(2, False, 1) == list(range(39, 14, -1))
+    assert page(2, False, 2) == list(range(14, -1, -1))
     assert page(2, False, 3) == []
     assert page(2, False, 0) == page(2, False, 1)
     assert page(4, False, 1) == []
     everything = page(1, True, 1) + page(1, True, 2)
-    assert sorted(everything) == list(range(32)) and len(everything) == 32
+    assert sorted(everything) == list(range(42)) and len(everything) == 42
     with pytest.raises(ValueError):
         page(1, True, 1, 0)
 
@@ -67,7 +67,7 @@ def test_cursor_walks_the_same_pages(runs, users):
 
 def test_totals(runs, users):
     got = {r.user_id: (r.total, r.total_pages) for r in history.history_totals(runs, users).collect()}
-    assert got == {1: (32, 2), 2: (30, 2), 3: (0, 1), 4: (0, 1)}
+    assert got == {1: (42, 2), 2: (40, 2), 3: (0, 1), 4: (0, 1)}
     with pytest.raises(ValueError):
         history.history_totals(runs, users, 0)
 
@@ -75,34 +75,34 @@ def test_totals(runs, users):
 def test_names_survive_unknown_users_and_converters(runs, users):
     got = {r.id: (r.username, r.label, r.duration_seconds)
            for r in history.with_names(runs, users, REGISTRY).collect()}
-    assert len(got) == 32
-    assert got[0] == ("test_operator", "TEC-Suite", 120.0)
-    assert got[30] == ("test_admin", "retired-tool", None)
-    assert got[31] == (None, "AbsTEC Suite", None)
+    assert len(got) == 42
+    assert got[3] == ("oleg", "TEC-Suite", 43.0)
+    assert got[40] == ("ada", "retired-tool", None)
+    assert got[41] == (None, "AbsTEC Suite", None)
 
 
 def test_visibility(runs, users):
     got = {tuple(r) for r in history.visibility_grants(runs, users).collect()}
     assert {g for g in got if g[0] == 0} == {(0, "role", None), (0, "owner", 2)}
-    assert {g for g in got if g[0] == 30} == {(30, "role", None)}
+    assert {g for g in got if g[0] == 40} == {(40, "role", None)}
     own = ids(history.visible_to(runs, 2, False))
     assert sorted(own) == sorted(g[0] for g in got if g[2] == 2)
 
 
 def test_access(spark, runs, users):
-    asked = [(1, 0), (2, 0), (4, 0), (2, 30), (3, 0), (99, 0), (2, 77)]
+    asked = [(1, 0), (2, 0), (4, 0), (2, 40), (3, 0), (99, 0), (2, 77)]
     requests = spark.createDataFrame(asked, "viewer_id LONG, run_id LONG")
     got = {(r.viewer_id, r.run_id): r.decision
            for r in history.check_access(requests, runs, users).collect()}
     assert got == {
-        (1, 0): "allowed", (2, 0): "allowed", (4, 0): "denied", (2, 30): "denied",
+        (1, 0): "allowed", (2, 0): "allowed", (4, 0): "denied", (2, 40): "denied",
         (3, 0): "no_session", (99, 0): "no_session", (2, 77): "not_found",
     }
 
 
 def test_recent(runs):
     got = history.recent_per_user(runs).where("user_id = 2").orderBy("rank")
-    assert ids(got) == [29, 28, 27, 26, 25]
+    assert ids(got) == [39, 38, 37, 36, 35]
     assert history.recent_per_user_converter(runs).where("user_id = 2").count() == 3
 
 
@@ -142,8 +142,8 @@ def test_state_policies(spark):
 
 def test_stops(spark, runs, users):
     asked = spark.createDataFrame(
-        [(1, 30, T0), (2, 30, T0), (1, 0, T0), (1, 31, T0 + dt.timedelta(hours=2)),
-         (1, 31, T0 + dt.timedelta(hours=1))],
+        [(1, 40, T0), (2, 40, T0), (1, 0, T0), (1, 41, T0 + dt.timedelta(hours=2)),
+         (1, 41, T0 + dt.timedelta(hours=1))],
         "viewer_id LONG, run_id LONG, ts TIMESTAMP",
     )
     writes = history.start_writes(runs).unionByName(
@@ -155,9 +155,9 @@ def test_stops(spark, runs, users):
     decided = history.check_access(asked, runs, users)
     stops = history.stop_writes(decided, state, attached)
     got = {r.run_id: (r.status, r.exit_code, r.finished_at) for r in stops.collect()}
-    assert got == {30: ("failed", -2, T0), 31: ("failed", -2, T0 + dt.timedelta(hours=1))}
-    after = history.current_state(writes.unionByName(stops)).where("run_id IN (0, 30)")
-    assert {r.run_id: r.status for r in after.collect()} == {0: "success", 30: "failed"}
+    assert got == {40: ("failed", -2, T0), 41: ("failed", -2, T0 + dt.timedelta(hours=1))}
+    after = history.current_state(writes.unionByName(stops)).where("run_id IN (0, 40)")
+    assert {r.run_id: r.status for r in after.collect()} == {0: "success", 40: "failed"}
     for none in (F.lit(None).cast("string"), F.lit("")):
         assert history.stop_writes(decided, state, runs.withColumn("container_id", none)).isEmpty()
 
@@ -174,9 +174,9 @@ def test_following_needs_a_container(spark, runs, users):
 
 
 def test_a_failed_launch_is_an_error(spark, runs):
-    failures = spark.createDataFrame([(30, T0)], "run_id LONG, ts TIMESTAMP")
+    failures = spark.createDataFrame([(40, T0)], "run_id LONG, ts TIMESTAMP")
     writes = history.start_writes(runs).unionByName(history.launch_failure_writes(failures))
-    state = history.current_state(writes).where("run_id = 30").first()
+    state = history.current_state(writes).where("run_id = 40").first()
     assert (state.status, state.exit_code, state.finished_at) == ("error", -1, T0)
 
 
