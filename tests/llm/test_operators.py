@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from compare import compare, connect
 from runledger.llm import near_duplicates as nd
+from runledger.llm import pitman_yor as py
 from runledger.llm.components import connected_components
 from runledger.llm.decontaminate import contamination, words
 from runledger.llm.html_text import extract_text, main_text
@@ -216,6 +217,43 @@ def test_model_beats_base_on_held_out_texts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_sums_of_contexts_are_exact(spark):
+    # More contexts than 2^20, some of which any fixed array would fold together.
+    rng = np.random.default_rng(2)
+    contexts = np.unique(rng.integers(0, 1 << 63, 1_200_000, dtype=np.uint64))
+    own, lists, sums = [], [], Counter()
+    for part in range(3):
+        mine = np.sort(rng.choice(contexts, len(contexts) // 2, replace=False))
+        values = rng.integers(1, 9, len(mine))
+        for shard in range(3):
+            cut = mine % np.uint64(3) == shard
+            own.append((part, shard, bytearray(py._pack(mine[cut], values[cut], 2 * values[cut]))))
+        lists.append((part, mine))
+        sums.update(dict(zip(mine.tolist(), values.tolist())))
+    model = spark.createDataFrame([(part, bytearray(b"m")) for part, _ in lists], "part int, model binary")
+    rows = py._context_sums(spark.createDataFrame(own, "part int, shard long, data binary"), model).collect()
+    got = {r.part: py._unpack(bytes(r.sums)) for r in rows}
+    for part, mine in lists:
+        expected = np.array([sums[c] for c in mine.tolist()])
+        assert (got[part][0] == expected).all() and (got[part][1] == 2 * expected).all()
+
+
+def test_a_context_has_only_its_own_followers(spark):
+    # Every context has one follower: with restaurants of its own, none is known in another's place.
+    pairs = [(f"a{k}", f"b{k}") for k in range(3000)]
+    texts = [(k, " ".join(f"{a} {b}" for a, b in pairs)) for k in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").select(F.col("doc_id"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "text", F.lit(False).alias("held_out"))
+    model = py._gathered(py._dealt(rows, np.empty(0, np.uint64), 2))
+    found = defaultdict(set)
+    for r in model.collect():
+        words, contexts, word, context, counts = py._cells(bytes(r.model))
+        for w, c, n in zip(words[word].tolist(), contexts[context].tolist(), counts.tolist()):
+            found[c].add(w)
+            assert n == 3
+    assert len(found) == 2 * len(pairs) + 1 and all(len(followers) == 1 for followers in found.values())
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
