@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 Elements that never hold main text go first. Every node left gets a density: characters
-per tag, reduced where characters stand in links. The node whose children's densities have the largest sum,
-among those at least as dense as the thinnest node on the best node's path from the body, is the article.
+per tag, reduced where characters stand in links. The thinnest node on the path from the body to the node whose
+children's densities have the largest sum gives the threshold. Below the body, every branch that is as dense as
+that gives its subtree of the largest sum, in page order, with the headings before it. No tag counts as the article by its name.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ ENDS_P = frozenset(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 HEADS = frozenset(f"h{n}" for n in range(1, 7))
+# Elements that are parts of a text and not a text of their own.
+PARTS = frozenset("p blockquote pre li ul ol dl dt dd table tbody tr td th".split())
 
 # Parts of class and id names of page furniture.
 FURNITURE = frozenset(
@@ -170,32 +173,72 @@ def densities(body: Node) -> dict[Node, tuple[float, float]]:
     }
 
 
-def article(body: Node) -> Node:
-    """The densest subtree: largest sum of child densities above the threshold of the body's path."""
+def articles(body: Node) -> list[Node | str]:
+    """The main text's subtrees, and pieces of text between them, in page order.
+
+    Down from the body, each node at least as dense as the threshold of the body's path gives the node of the
+    largest sum in its subtree; nodes below one that is not are not looked at. Headings are too short for the
+    threshold: those that stand right before such a subtree, or a node that holds one, come with it. A part of a
+    text, like a paragraph, stands for the block around it, or in the body for the paragraphs beside it.
+    """
     found = densities(body)
     if len(found) == 1:
-        return body
-    best = max(found, key=lambda n: found[n][1])
-    threshold, node = found[best][0], best
+        return [body]
+    # Parents come before their children in ``found``; of equal sums the outer and then the first one counts.
+    peak: dict[Node, Node] = {}
+    for node in reversed(found):
+        peak[node] = max(
+            [node, *(peak[x] for x in node.items if isinstance(x, Node) and not x.dropped)], key=lambda n: found[n][1]
+        )
+    threshold, node = found[peak[body]][0], peak[body]
     while node is not body:
         node = node.parent
         threshold = min(threshold, found[node][0])
-    dense = [n for n in found if found[n][0] >= threshold]
-    chosen = max(dense, key=lambda n: found[n][1], default=best)
-    # One element of an article may outweigh its neighbours: its whole article is the text.
-    node = chosen
-    while node is not body:
-        node = node.parent
-        if node.tag in ("article", "main"):
-            chosen = node
-            break
-    if chosen.tag not in BLOCK or chosen.tag in ("ul", "ol", "dl", "table", "tbody", "tr", "p", "blockquote", "li"):
-        chosen = chosen.parent or chosen
-    return chosen
-
-
-def blocks(node: Node) -> list[str]:
-    """Texts of a subtree's blocks in page order, white space made single spaces."""
+    # Parts of a text do not stand alone: the block around them is the text.
+    whole: dict[Node, Node] = {}
+    for node in found:
+        part = node.tag not in BLOCK or node.tag in PARTS
+        whole[node] = whole[node.parent] if part and node is not body and node.parent is not body else node
+    chosen, dense, todo = set(), set(), [body]
+    while todo:
+        node = todo.pop()
+        if found[node][0] < threshold:
+            continue
+        dense.add(node)
+        chosen.add(whole[peak[node]])
+        todo += [x for x in node.items if isinstance(x, Node) and not x.dropped]
+    holding = set()
+    for node in chosen:
+        while node not in holding:
+            holding.add(node)
+            node = node.parent or node
+    out: list[Node | str] = []
+    walk: list[Node | str] = [body]
+    while walk:
+        x = walk.pop()
+        if isinstance(x, str) or x in chosen or x not in dense:
+            out.append(x)
+            continue
+        kept, following = [], False
+        paragraphs = any(isinstance(item, Node) and item in chosen and item.tag in PARTS for item in x.items)
+        for item in reversed(x.items):
+            if isinstance(item, str):
+                # Text between elements counts as one tag without links.
+                if len("".join(item.split())) >= threshold:
+                    kept.append(item)
+            elif not item.dropped and item.tag in HEADS | {"hgroup", "header"}:
+                if following or item in holding:
+                    kept.append(item)
+            elif not item.dropped:
+                following = item in holding or (paragraphs and item.tag in ("p", "blockquote", "pre"))
+                if following:
+                    kept.append(item)
+        walk += kept
+    return out
+
+
+def blocks(nodes: list[Node | str]) -> list[str]:
+    """Texts of the blocks of subtrees in page order, white space made single spaces."""
     found: list[str] = []
     parts: list[str] = []
 
@@ -205,7 +248,9 @@ def blocks(node: Node) -> list[str]:
             found.append(text)
         parts.clear()
 
-    todo: list[Node | str | None] = [node]
+    todo: list[Node | str | None] = []
+    for node in reversed(nodes):
+        todo += [None, node]
     while todo:
         x = todo.pop()
         if x is None:
@@ -228,7 +273,7 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    return "\n".join(blocks(article(tree.body or tree.root)))
+    return "\n".join(blocks(articles(tree.body or tree.root)))
 
 
 def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:

@@ -201,6 +201,30 @@ def test_main_text():
     assert main_text(None) == main_text("") == ""
 
 
+def test_main_text_of_pages_without_article_and_of_split_bodies():
+    def paragraphs(word, n):
+        return "".join(f"<p>{(word + ' ') * 80}{k}</p>" for k in range(n))
+
+    links = "<div class=x><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div>"
+    # Two sections and a heading in one container; the first section has the larger sum.
+    split = f"<div><h1>The heading</h1><section>{paragraphs('first', 10)}</section><h2>More</h2><section>{paragraphs('other', 8)}</section></div>"
+    lines = main_text(f"<html><body>{links}{split}{links}</body></html>").split("\n")
+    assert lines[0] == "The heading" and lines[11] == "More" and len(lines) == 20
+    assert [x.split()[0] for x in lines[1:11] + lines[12:]] == ["first"] * 10 + ["other"] * 8
+    # Containers far apart, with links between them.
+    apart = f"<div>{paragraphs('first', 5)}</div>{links}<div><div>{paragraphs('other', 6)}</div></div>"
+    assert [x.split()[0] for x in main_text(f"<body>{apart}</body>").split("\n")] == ["first"] * 5 + ["other"] * 6
+    # The tag <main> does not make links text.
+    wide = f"<main><article>{paragraphs('first', 5)}</article>{links}</main>"
+    assert [x.split()[0] for x in main_text(f"<body>{wide}</body>").split("\n")] == ["first"] * 5
+    # One paragraph whose only child is as long does not outweigh the short ones beside it.
+    short = f"<p><b>{'first ' * 80}<br></b></p><p>Short.</p>"
+    assert main_text(f"<body>{links}<div>{short}</div></body>").split("\n")[-1] == "Short."
+    assert main_text(f"<body>{links}{short}{links}</body>").split("\n")[-1] == "Short."
+    # Text without elements of its own, and a page of text only.
+    assert main_text("<body>Some words <b>in bold</b> here</body>") == "Some words in bold here"
+
+
 def test_seating_keeps_customers():
     customers = np.array([1, 2, 3, 50, 1000])
     seats = Seating(customers, np.full(5, 0.7), 0.6, np.random.default_rng(0))
