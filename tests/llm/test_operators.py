@@ -268,7 +268,7 @@ def test_a_context_has_only_its_own_followers(spark):
     texts = [(k, " ".join(f"{a} {b}" for a, b in pairs)) for k in range(3)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").select(F.col("doc_id"), "text")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "text", F.lit(False).alias("held_out"))
-    model = py._gathered(py._dealt(rows, np.empty(0, np.uint64), 2))
+    model = py._gathered(py._dealt(rows, np.empty(0, np.uint64), np.empty((0, 2), np.uint64), 2), 2)
     found = defaultdict(set)
     for r in model.collect():
         words, contexts, word, context, counts = py._cells(bytes(r.model))
@@ -278,6 +278,35 @@ def test_a_context_has_only_its_own_followers(spark):
     assert len(found) == 2 * len(pairs) + 1 and all(len(followers) == 1 for followers in found.values())
 
 
+def test_tokens_of_a_frequent_pair_meet_nowhere(spark, monkeypatch):
+    # A filler pair holds most of the tokens; every document also has words of its own.
+    texts = [(k, "again and " * (k % 50 + 200) + f"own{k} word{k % 7}") for k in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "text", F.lit(False).alias("held_out"))
+    hashes = py.WordHashes()
+    both = hashes.of([b"again", b"and"])
+    pairs = np.array(sorted([(both[0], both[1]), (both[1], both[0])]), np.uint64)
+    model = py._gathered(py._dealt(rows, np.sort(both), pairs, 5), 5).collect()
+    entries = {r.part: py._unpack(bytes(r.tokens)) for r in model}
+    # Entries are counted by document; those of the pairs are spread over all further partitions.
+    assert sum(len(x[0]) for k, x in entries.items() if k >= 5) == 2 * 400
+    assert max(len(x[0]) for k, x in entries.items() if k >= 5) < 2 * 400 / 3
+    assert sum(int(x[1].sum()) for x in entries.values()) == sum(len(t.split()) + 1 for _, t in texts)
+    found = {}
+    for r in model:
+        if r.part < 5:
+            words, contexts, word, context, counts = py._cells(bytes(r.model))
+            found |= {(int(contexts[c]), int(words[w])): int(n) for w, c, n in zip(word, context, counts)}
+    assert found[tuple(map(int, both))] == sum(t.count("again") for _, t in texts)
+    # Frequent pairs get the scores they have when none is set apart.
+    plain = {r.doc_id: r for r in score_texts(docs).collect()}
+    monkeypatch.setattr(py, "_pair_places", lambda pairs, before, words: np.full(len(words), -1, np.int64))
+    for r in score_texts(docs).collect():
+        other = plain[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (other.n_tokens, other.n_known, other.train_tokens)
+        assert abs(r.score - other.score) < 1e-6 and abs(r.base_score - other.base_score) < 1e-6
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
