@@ -93,7 +93,7 @@ def features(text: str | None, weights: _Weights) -> list[float]:
 
     return [
         float(found.sum()) / n, len(places) / n, math.log1p(len(places)),
-        float(len({words[k] for k in places[:100_000]})), float(stretch), near / n,
+        float(len({words[k] for k in places})), float(stretch), near / n,
         sum(map(SECOND_PERSON.__contains__, words)) / n, rate(_UPPER), rate(_MARKS), rate(b"!"),
         rate(_JUNK), len(_HIDDEN.findall(low)) / n, len(_DRAWN.findall(low)) / n, math.log1p(len(words)),
     ]

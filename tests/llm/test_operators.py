@@ -20,7 +20,7 @@ from runledger.llm.pitman_yor import Seating, score_texts
 from runledger.llm.quality import judge_quality
 from runledger.llm.queries import oracle_sql, queries
 from runledger.llm.token_counts import MARK, Counter as TokenCounter, Vocabulary, count_tokens
-from runledger.llm.toxicity import toxicity
+from runledger.llm.toxicity import FEATURES, _Weights, features, toxicity
 from runledger.llm.url_filter import Cascade, judge_urls
 
 SF = "/root/testdata/sf0.001"
@@ -307,6 +307,12 @@ def test_tokens_of_a_frequent_pair_meet_nowhere(spark, monkeypatch):
         assert abs(r.score - other.score) < 1e-6 and abs(r.base_score - other.base_score) < 1e-6
 
 
+def test_kinds_counts_all_hits_of_a_long_text():
+    weights = _Weights({b"=vile": 2.0, b"=foul": 2.0})
+    values = dict(zip(FEATURES, features("vile " * 100_001 + "fine foul", weights)))
+    assert values["kinds"] == 2 and values["stretch"] == 40
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
