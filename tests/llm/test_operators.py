@@ -334,3 +334,30 @@ def test_pipeline_stages_keep_their_promises(spark):
     for r in mixed:
         by_source[r.source] += r.taken
     assert all(abs(by_source[r.source] - r.target) < 1 for r in mixed)
+
+
+def test_pipeline_stages_keep_the_right_documents(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(8)
+
+    def text(n):
+        return " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+
+    passage, item = text(60), text(20)
+    texts = {k: text(120) for k in range(20)}
+    texts |= {20: texts[3], 21: texts[4] + " end", 22: text(30) + "\n" + passage, 23: passage + "\n" + text(40)}
+    texts |= {24: text(50) + " " + item + " " + text(50), 25: text(50) + " " + " ".join(item.split()[:9]) + " " + text(50)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(pipeline.STAGES)
+
+    def kept(name):
+        return {r.doc_id: r.text for r in stages[name](spark, docs, str(tmp_path)).collect()}
+
+    groups = brute_components(texts, 5, 80)
+    near = kept("near_dedup")
+    assert near == {k: texts[k] for k in near} and len(near) == len(set(groups.values())) == 24
+    assert {groups[k] for k in near} == set(groups.values())
+    assert kept("decontamination") == {k: v for k, v in texts.items() if k != 24}
+    # The later copy of a line run goes, and a document of which nothing is left.
+    assert kept("line_dedup") == {k: v for k, v in texts.items() if k != 20} | {23: texts[23].split("\n")[1]}
