@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,11 @@ def fresh(rows: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def named(names: Iterable[str]) -> list[Column]:
+    """Columns of these names, whatever characters the names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

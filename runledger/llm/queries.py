@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from runledger.llm.common import table
+from runledger.llm.cover_tree import VECTORS_SQL, near_vectors
 from runledger.llm.decontaminate import CONTAMINATION_SQL, contamination
 from runledger.llm.html_text import extract_text
 from runledger.llm.line_dedup import LINES_SQL, dedup_lines
+from runledger.llm.manifest import MANIFEST_SQL, checked_manifest
 from runledger.llm.mixing import MIX_SQL, mix
 from runledger.llm.near_duplicates import near_duplicates
+from runledger.llm.periodic import RUNS_SQL, periodic_runs, run_digests, with_planted_periods
 from runledger.llm.pitman_yor import score_texts
 from runledger.llm.quality import judge_quality
 from runledger.llm.token_counts import Vocabulary, count_tokens
@@ -97,6 +100,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of each document, and digests of what is left without them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_digests(periodic_runs(with_planted_periods(docs)))
+
+
+def op12_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of embeddings of cosine 0.9 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and witness of each document, and whether a tampered one still leads to the root."""
+    return checked_manifest(table(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_token_counts": op2_token_counts,
@@ -108,6 +127,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperminhash": op8_hyperminhash,
     "op9_line_runs": op9_line_runs,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_cover_tree": op12_cover_tree,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
@@ -124,4 +146,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": URL_SQL,
         "op7_winnowing": CONTAMINATION_SQL,
         "op9_line_runs": LINES_SQL,
+        "op11_periodic_runs": RUNS_SQL,
+        "op12_cover_tree": VECTORS_SQL,
+        "op13_merkle_manifest": MANIFEST_SQL,
     }
