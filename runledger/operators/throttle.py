@@ -1,22 +1,27 @@
 """Greedy throttle: a line is shown when enough time has passed since the last one shown.
 
 Which line is shown next depends on the one shown before, so a run is a chain. The chain is
-cut into time slices that are worked on in parallel:
+cut into slices that are worked on in parallel:
 
 1. Only the first line at each instant can be shown, so lines shrink to one per run and
-   instant. A slice then holds at most one row per microsecond of its width.
-2. Each slice states, for every time from which showing may be allowed again, when it will
+   instant. Instants are counted per time bucket.
+2. Where the interval is much longer than a bucket, the buckets' first and last instants bound where each
+   line shown can lie; buckets that can hold none are dropped. The rest is cut into slices of about ``SLICE_ROWS``.
+3. Each slice is a step function: for every time from which showing may be allowed again, when it will
    be allowed after the slice. Starts close to each other soon meet on the same line, so
-   this is a short list.
-3. The lists of a run are followed in order, which gives each slice its true start.
-4. Each slice picks its lines from that start.
+   this is a short list, and it never reaches further than one interval.
+4. The functions of ``GROUP`` slices are composed into one of the same kind, groups in parallel. The groups of a
+   run are followed in order, then the slices of each group, groups in parallel again.
+5. Each slice picks its lines from its true start.
 
-Steps 2-4 see only ids and times; the text of the chosen lines is joined at the end.
+A task holds the instants of one slice (``SLICE_ROWS`` and a bucket), or the starts of one group: at most the instants
+of one interval for each of its slices, and of a run as many for each group. A run's buckets, one per ten seconds of its length or
+longer, are read by one task. These steps see only ids and times; the text of the chosen lines is joined at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +32,12 @@ from pyspark.sql import functions as F
 from runledger.functions.runs import micros
 from runledger.registry import Registry
 
-# A slice lasts this many intervals, but not less than SLICE_MIN_US.
-SLICE_INTERVALS = 32
-SLICE_MIN_US = 60_000_000
+SLICE_ROWS = 1 << 16
+GROUP = 64
+BUCKET_US = 10_000_000
 
+# An interval of this many buckets lets buckets bound where lines are shown.
+_NARROW = 64
 _NEVER = -(2**62)
 
 
@@ -119,8 +126,52 @@ class _Slices:
             last = further
 
 
+def _possible(first: np.ndarray, last: np.ndarray, shortest: int, longest: int) -> np.ndarray:
+    """Buckets of one run that may hold a line shown, given their first and last instants.
+
+    The k-th line shown lies between two bounds; both move on by an interval and to the next instant
+    that buckets know of.
+    """
+    found = np.zeros(len(first), dtype=bool)
+    low = high = _NEVER
+    while True:
+        at = int(np.searchsorted(last, low))
+        if at == len(last):
+            return found
+        low = max(low, int(first[at]))
+        to = int(np.searchsorted(last, high))
+        high = int(last[-1]) if to == len(last) else int(first[to] if high <= first[to] else last[to])
+        found[at : int(np.searchsorted(first, high, "right"))] = True
+        low, high = low + shortest, high + longest
+
+
+def _cut(rows: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The slice of each bucket that may hold a line shown."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["job_id"]):
+            bounds = [0, *_changes(table, ["job_id"]).tolist(), table.num_rows]
+            first, last, shortest, longest, count = (
+                table.column(c).to_numpy() for c in ("first_us", "last_us", "shortest", "longest", "rows")
+            )
+            keep = np.ones(table.num_rows, dtype=bool)
+            number = np.zeros(table.num_rows, np.int64)
+            for i, j in zip(bounds[:-1], bounds[1:]):
+                least, most = int(shortest[i:j].min()), int(longest[i:j].max())
+                if least >= _NARROW * width:
+                    keep[i:j] = _possible(first[i:j], last[i:j], least, most)
+                counted = np.where(keep[i:j], count[i:j], 0)
+                number[i:j] = (np.cumsum(counted) - counted) // rows
+            out = table.select(["job_id", "bucket"]).append_column("slice", pa.array(number))
+            yield from out.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return cut
+
+
 def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per slice: starting from up to ``upto``, showing is allowed again from ``allowed``."""
+    """Per slice: starting from up to ``upto``, showing is allowed again from ``allowed``.
+
+    ``reach`` is one interval behind the slice's first line, beyond which no start lies.
+    """
     for table in _whole_groups(batches, ["job_id", "slice"]):
         s = _Slices(table)
         last = s.last_shown()
@@ -136,29 +187,70 @@ def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = table.select(["job_id", "slice"]).take(pa.array(keep))
         out = out.append_column("upto", pa.array(s.us[keep]))
         out = out.append_column("allowed", pa.array(s.us[last[keep]] + s.interval[last[keep]]))
+        out = out.append_column("reach", pa.array(reach[s.group[keep]]))
         yield from out.combine_chunks().to_batches()
 
 
-def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Goes through the slices of each run in order and states the start of each."""
-    job, slot, start, allowed, entered = None, None, _NEVER, _NEVER, False
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        picked, starts = [], []
-        columns = (table.column(c).to_pylist() for c in ("job_id", "slice", "upto", "allowed"))
-        for row, (row_job, row_slot, upto, then) in enumerate(zip(*columns)):
-            if row_job != job:
-                job, slot, allowed = row_job, None, _NEVER
-            if row_slot != slot:
-                slot, start, entered = row_slot, allowed, False
-                picked.append(row)
-                starts.append(start)
-            if not entered and start <= upto:
-                allowed, entered = then, True
-        if picked:
-            out = table.select(["job_id", "slice"]).take(pa.array(picked))
-            out = out.append_column("start_us", pa.array(starts, pa.int64()))
-            yield from out.combine_chunks().to_batches()
+def _after(upto: np.ndarray, allowed: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A step function at ``start``; behind its last step nothing is shown."""
+    step = np.searchsorted(upto, start)
+    return np.where(step < len(upto), allowed[np.minimum(step, len(upto) - 1)], start)
+
+
+def composed(functions: list[tuple[np.ndarray, np.ndarray]], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """One step function for several in a row; starts up to ``reach`` are told apart."""
+    upto, allowed = functions[0]
+    for next_upto, next_allowed in functions[1:]:
+        allowed = _after(next_upto, next_allowed, allowed)
+        if upto[-1] < reach:
+            new = slice(*np.searchsorted(next_upto, [upto[-1] + 1, reach + 1]) + np.array([0, 1]))
+            upto = np.concatenate([upto, next_upto[new]])
+            allowed = np.concatenate([allowed, next_allowed[new]])
+        keep = np.append(allowed[1:] != allowed[:-1], True)
+        upto, allowed = upto[keep], allowed[keep]
+    return upto, allowed
+
+
+def _functions(table: pa.Table) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+    """First rows and step functions of the slices of a table."""
+    starts = [0, *_changes(table, ["slice"]).tolist()]
+    upto, allowed = (table.column(c).to_numpy() for c in ("upto", "allowed"))
+    return starts, [(upto[i:j], allowed[i:j]) for i, j in zip(starts, [*starts[1:], table.num_rows])]
+
+
+def _each(table: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
+    cuts = [0, *_changes(table, keys).tolist(), table.num_rows]
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        yield table.slice(i, j - i)
+
+
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The step function of each group of slices."""
+    for whole in _whole_groups(batches, ["job_id", "group"]):
+        for table in _each(whole, ["job_id", "group"]):
+            _, functions = _functions(table)
+            upto, allowed = composed(functions, table.column("reach")[0].as_py())
+            out = table.select(["job_id", "group"]).take(pa.array(np.zeros(len(upto), np.int64)))
+            out = out.append_column("upto", pa.array(upto)).append_column("allowed", pa.array(allowed))
+            yield from out.rename_columns(["job_id", "slice", "upto", "allowed"]).combine_chunks().to_batches()
+
+
+def _follow(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Goes through the slices of each key in order, from ``start_us``, and states the start of each."""
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_groups(batches, keys):
+            for table in _each(whole, keys):
+                rows, functions = _functions(table)
+                start = np.int64(table.column("start_us")[0].as_py())
+                starts = []
+                for upto, allowed in functions:
+                    starts.append(start)
+                    start = _after(upto, allowed, start)
+                out = table.select(["job_id", "slice"]).take(pa.array(rows))
+                out = out.append_column("start_us", pa.array(np.array(starts, np.int64)))
+                yield from out.combine_chunks().to_batches()
+
+    return follow
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,56 +263,105 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out.combine_chunks().to_batches()
 
 
+def sliced_instants(timed: DataFrame, width: int, seeds: DataFrame | None, slice_rows: int) -> DataFrame:
+    """``job_id, slice, us, seq, interval_us``: the instants that may be shown, cut into slices."""
+    at = timed.select("job_id", "seq", micros(F.col("ts")).alias("us"), "interval_us").where(
+        F.col("job_id").isNotNull() & F.col("us").isNotNull()
+    )
+    instants = (
+        at.withColumn("bucket", F.floor(F.col("us") / F.lit(width)))
+        .groupBy("job_id", "bucket", "us")
+        .agg(F.min("seq").alias("seq"), F.max("interval_us").alias("interval_us"))
+    )
+    if seeds is not None:
+        known = seeds.select("job_id", "allowed_us")
+        instants = instants.join(known, "job_id", "left").where(
+            F.coalesce(F.col("us") >= F.col("allowed_us"), F.lit(True))
+        ).drop("allowed_us")
+    buckets = instants.groupBy("job_id", "bucket").agg(
+        F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("rows"),
+        F.min("interval_us").alias("shortest"), F.max("interval_us").alias("longest"),
+        # Not used, but with it the plan below is that of the join, so both share one shuffle of the instants.
+        F.min("seq").alias("seq"),
+    )
+    job_type = timed.schema["job_id"].dataType.simpleString()
+    # One task reads a run's buckets, which its length bounds, however many lines it has.
+    slices = (
+        buckets.repartition("job_id").sortWithinPartitions("job_id", "bucket")
+        .mapInArrow(_cut(slice_rows, width), f"job_id {job_type}, bucket bigint, slice bigint")
+    )
+    return (
+        instants.join(slices, ["job_id", "bucket"])
+        .select("job_id", "slice", "us", "seq", "interval_us")
+        # Joins by slice ask for this; said here, both uses of the rows share one shuffle.
+        .where(F.col("slice").isNotNull())
+        .repartition("job_id", "slice")
+    )
+
+
+def grouped_exits(sliced: DataFrame) -> DataFrame:
+    """``job_id, group, slice, upto, allowed, reach``: the steps of each slice's function."""
+    job_type = sliced.schema["job_id"].dataType.simpleString()
+    exits = sliced.sortWithinPartitions("job_id", "slice", "us").mapInArrow(
+        _exits, f"job_id {job_type}, slice bigint, upto bigint, allowed bigint, reach bigint"
+    )
+    return exits.withColumn("group", F.floor(F.col("slice") / F.lit(GROUP))).repartition("job_id", "group")
+
+
+def slice_starts(exits: DataFrame) -> DataFrame:
+    """``job_id, slice, start_us``: from when showing is allowed as each slice begins."""
+    job_type = exits.schema["job_id"].dataType.simpleString()
+    steps = exits.sortWithinPartitions("job_id", "group", "slice", "upto").mapInArrow(
+        _compose, f"job_id {job_type}, slice bigint, upto bigint, allowed bigint"
+    )
+    group_starts = (
+        steps.withColumn("start_us", F.lit(_NEVER).cast("bigint")).repartition("job_id")
+        .sortWithinPartitions("job_id", "slice", "upto")
+        .mapInArrow(_follow(["job_id"]), f"job_id {job_type}, slice bigint, start_us bigint")
+        .withColumnRenamed("slice", "group")
+    )
+    return (
+        exits.join(group_starts, ["job_id", "group"])
+        .sortWithinPartitions("job_id", "group", "slice", "upto")
+        .mapInArrow(_follow(["job_id", "group"]), f"job_id {job_type}, slice bigint, start_us bigint")
+    )
+
+
 def throttle(
     lines: DataFrame,
     registry: Registry,
     interval_sec: float | None = None,
-    slice_intervals: int = SLICE_INTERVALS,
-    slice_min_us: int = SLICE_MIN_US,
+    seeds: DataFrame | None = None,
+    slice_rows: int = SLICE_ROWS,
+    bucket_us: int = BUCKET_US,
 ) -> DataFrame:
     """The lines shown to a follower, at least ``interval_sec`` apart within each run.
 
     Without ``interval_sec`` each converter has its own. Zero or less shows every line.
-    Expects lines that may be shown (``logs.matching_lines``) with unique ``job_id, seq``.
+    Expects lines that may be shown (``logs.matching_lines``) with unique ``job_id, seq``. ``seeds(job_id, allowed_us)``
+    says from when lines of a run may be shown at all, one row per run at most.
     """
     if interval_sec is None:
         interval = registry.interval_us(F.col("converter"))
-        shortest = min([registry.default_interval_sec, *map(registry.interval_of, registry.converters)])
-        always = round(shortest * 1_000_000) > 0
+        seconds = [registry.default_interval_sec, *map(registry.interval_of, registry.converters)]
+        shortest, longest = round(min(seconds) * 1_000_000), round(max(seconds) * 1_000_000)
     else:
-        rounded = round(interval_sec * 1_000_000)
-        if rounded <= 0:
-            return lines
-        interval = F.lit(rounded).cast("bigint")
-        always = True
+        shortest = longest = round(interval_sec * 1_000_000)
+        interval = F.lit(longest).cast("bigint")
+    if longest <= 0:
+        return lines
     timed = lines.withColumn("interval_us", interval)
     free = None
-    if not always:
+    if shortest <= 0:
         free = timed.where(F.col("interval_us") <= 0).drop("interval_us")
         timed = timed.where(F.col("interval_us") > 0)
 
-    width = F.greatest(F.col("interval_us") * slice_intervals, F.lit(slice_min_us))
-    instants = (
-        timed.select("job_id", "seq", micros(F.col("ts")).alias("us"), "interval_us")
-        .groupBy("job_id", "us")
-        .agg(F.min("seq").alias("seq"), F.max("interval_us").alias("interval_us"))
-        .withColumn("slice", F.floor(F.col("us") / width))
-        # The join below asks for this; said here, both uses of the rows share one shuffle.
-        .where(F.col("job_id").isNotNull() & F.col("slice").isNotNull())
-        .select("job_id", "slice", "us", "seq", "interval_us")
-        .repartition("job_id", "slice")
-    )
+    width = max(bucket_us, longest // 1024)
+    sliced = sliced_instants(timed, width, seeds, slice_rows)
+    starts = slice_starts(grouped_exits(sliced))
     job_type = lines.schema["job_id"].dataType.simpleString()
-    exits = instants.sortWithinPartitions("job_id", "slice", "us").mapInArrow(
-        _exits, f"job_id {job_type}, slice bigint, upto bigint, allowed bigint"
-    )
-    starts = (
-        exits.repartition("job_id")
-        .sortWithinPartitions("job_id", "slice", "upto")
-        .mapInArrow(_follow, f"job_id {job_type}, slice bigint, start_us bigint")
-    )
     shown = (
-        instants.join(starts, ["job_id", "slice"])
+        sliced.join(starts, ["job_id", "slice"])
         .sortWithinPartitions("job_id", "slice", "us")
         .mapInArrow(_pick, f"job_id {job_type}, seq bigint")
     )

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from runledger import Converter, Registry, default_registry, schemas
 from runledger.operators import logs
-from runledger.operators.throttle import throttle
+from runledger.operators import throttle as throttle_module
+from runledger.operators.throttle import composed, throttle
 from runledger.session import temporary_conf
 from runledger.sources.logs import lines_from_bytes, read_log_text, stream_log_text
 
@@ -115,13 +117,13 @@ def throttled(df, gap_us, **slices):
     return {(r.job_id, r.seq) for r in got}
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     gaps=st.lists(st.lists(st.integers(0, 30), max_size=80), min_size=1, max_size=4),
-    gap=st.integers(1, 40), slice_intervals=st.integers(1, 4),
+    gap=st.integers(1, 700), slice_rows=st.integers(1, 4),
 )
-def test_throttle_equals_brute_force(spark, gaps, gap, slice_intervals):
-    """Slices of a few microseconds cut each run many times."""
+def test_throttle_equals_brute_force(spark, gaps, gap, slice_rows):
+    """Slices of a few lines cut each run many times; long gaps let buckets rule out lines."""
     rows = []
     for job, steps in enumerate(gaps):
         us = 0
@@ -129,7 +131,7 @@ def test_throttle_equals_brute_force(spark, gaps, gap, slice_intervals):
             us += step
             rows.append((job, seq, us, "retired-tool", "x"))
     df = lines_df(spark, rows)
-    got = throttled(df, gap, slice_intervals=slice_intervals, slice_min_us=1)
+    got = throttled(df, gap, slice_rows=slice_rows, bucket_us=3)
     assert got == brute_force_throttle(rows, gap)
 
 
@@ -144,11 +146,74 @@ def test_throttle_of_a_hot_run_over_many_batches(spark):
     df = lines_df(spark, rows).repartition(8)
     expected = brute_force_throttle(rows, 1000)
     with temporary_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "37"}):
-        assert throttled(df, 1000, slice_min_us=1) == expected
-        assert throttled(df, 1000, slice_intervals=1, slice_min_us=1) == expected
+        assert throttled(df, 1000, slice_rows=300, bucket_us=50) == expected
+        assert throttled(df, 1000, slice_rows=1, bucket_us=1) == expected
     assert throttled(df, 1000) == expected
 
 
+def test_functions_of_slices_compose(spark):
+    """However slices are grouped, the composed function is the same where starts can lie."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        us = np.unique(rng.integers(0, 400, rng.integers(2, 120)))
+        gap = int(rng.integers(1, 120))
+        functions = []
+        for part in np.array_split(us, rng.integers(1, 9)):
+            if len(part):
+                last = []
+                for start in part:
+                    shown = start
+                    for x in part:
+                        shown = x if x >= shown + gap else shown
+                    last.append(shown + gap)
+                functions.append((part, np.array(last)))
+        reach = int(us[0]) + gap
+        upto, allowed = composed(functions, reach)
+        for start in range(-5, reach + 1):
+            then = start
+            for x in us:
+                then = x + gap if x >= then else then
+            k = np.searchsorted(upto, start)
+            assert (allowed[k] if k < len(upto) else start) == then
+        assert len(upto) <= len(functions[0][0]) + (us <= reach).sum() + 1
+
+
+@pytest.mark.parametrize("gap_sec", [1, 6 * 3600])
+def test_a_hot_run_is_spread(spark, gap_sec):
+    """One run has all lines; no slice, group or bucket list comes near their number."""
+    n, step_us = 500_000, 400_000 if gap_sec > 1 else 2_000
+    lines = spark.range(0, n, 1, 16).select(
+        F.lit(1).cast("bigint").alias("job_id"), F.col("id").alias("seq"),
+        F.timestamp_micros(F.col("id") * step_us + F.pmod(F.xxhash64("id"), F.lit(step_us // 3))).alias("ts"),
+        F.lit("retired-tool").alias("converter"), F.lit("x").alias("line"),
+    )
+    us = np.sort(lines.select(F.unix_micros("ts").alias("us")).toArrow().column("us").to_numpy())
+    expected, k = [], 0
+    while k < n:
+        expected.append(k)
+        k = int(np.searchsorted(us, us[k] + gap_sec * 1_000_000))
+    shown = throttle(lines, REGISTRY, gap_sec, slice_rows=4096).select("seq").collect()
+    assert sorted(r.seq for r in shown) == expected
+    interval = gap_sec * 1_000_000
+    timed = lines.withColumn("interval_us", F.lit(interval).cast("bigint"))
+    sliced = throttle_module.sliced_instants(timed, max(10_000_000, interval // 1024), None, 4096)
+    sizes = [r["count"] for r in sliced.groupBy("slice").count().collect()]
+    if gap_sec == 1:
+        assert sum(sizes) == n and max(sizes) < 4096 + 5001
+        exits = throttle_module.grouped_exits(sliced)
+        assert max(r["count"] for r in exits.groupBy("group").count().collect()) <= 64 * 502
+    else:
+        assert sum(sizes) < n / 20  # what no line shown can be among is left out
+
+
+def test_throttle_from_a_seed(spark):
+    rows = [(job, i, i * 400_000, "tec-suite", "x") for job in (1, 2) for i in range(8)]
+    start = round(EPOCH.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    seeds = spark.createDataFrame([(1, start + 900_000), (3, 5)], "job_id LONG, allowed_us LONG")
+    got = throttle(lines_df(spark, rows), REGISTRY, seeds=seeds).collect()
+    assert sorted((r.job_id, r.seq) for r in got) == [(1, 3), (1, 5), (1, 7), (2, 0), (2, 2), (2, 4), (2, 6)]
+
+
 def test_throttle_works_with_named_runs(spark):
     df = lines_df(spark, [(1, i, i * 400_000, "tec-suite", "x") for i in range(6)])
     named = df.withColumn("job_id", F.concat(F.lit("run-"), F.col("job_id").cast("string")))
