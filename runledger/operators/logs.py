@@ -65,36 +65,51 @@ def annotate(lines: DataFrame, registry: Registry) -> DataFrame:
     return marked.withColumn("line", F.when(F.col("shown"), F.col("line")))
 
 
-def monotonic_progress(lines: DataFrame, registry: Registry) -> DataFrame:
+def monotonic_progress(
+    lines: DataFrame, registry: Registry, seeds: DataFrame | None = None
+) -> DataFrame:
     """``(job_id, seq, ts, progress)`` of lines whose progress tops all earlier ones.
 
     A value can only be news where it first occurs. So the lines shrink to the first one
     per run and value before any shuffle, and the running maximum sees a row per value.
+    ``seeds(job_id, best)`` says what runs have reached before these lines.
     """
     firsts = (
         with_progress(lines, registry)
         .groupBy("job_id", "progress")
         .agg(F.min("seq").alias("seq"), F.min_by("ts", "seq").alias("ts"))
     )
+    if seeds is not None:
+        # A value reached before stands in front of all lines, and is no news itself.
+        reached = seeds.where(F.col("best").isNotNull()).select(
+            "job_id", F.col("best").alias("progress"), F.lit(None).cast("bigint").alias("seq"),
+            F.lit(None).cast(firsts.schema["ts"].dataType).alias("ts"),
+        )
+        firsts = firsts.unionByName(reached)
     earlier = (
-        Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("job_id").orderBy(F.col("seq").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     best = F.coalesce(F.max("progress").over(earlier).cast("bigint"), F.lit(-(2**32)))
     # Lines without progress make one group per run, which fails the comparison. Dropping
     # them earlier would be pushed below the regexes and evaluate those twice.
     return (
         firsts.withColumn("best", best)
-        .where(F.col("progress") > F.col("best"))
+        .where((F.col("progress") > F.col("best")) & F.col("seq").isNotNull())
         .select("job_id", "seq", "ts", "progress")
     )
 
 
-def idle_beats(lines: DataFrame, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+def idle_beats(
+    lines: DataFrame, idle_seconds: float = IDLE_SECONDS, seeds: DataFrame | None = None
+) -> DataFrame:
     """``(job_id, seq, ts, beats)``: full idle periods right before a line, where any.
 
     Two lines in the same slot of ``idle_seconds`` are closer than that, so pauses lie
     between slots only. The lines shrink to first and last time per run and slot before
-    any shuffle; what a run keeps is limited by its length, not by its lines.
+    any shuffle; what a run keeps is limited by its length, not by its lines. A run's first line
+    has a pause where ``seeds(job_id, last_us)`` has the time it counts from: that of the run's start, or of
+    a line before these.
     """
     if idle_seconds <= 0:
         raise ValueError("idle_seconds must be positive")
@@ -109,7 +124,15 @@ def idle_beats(lines: DataFrame, idle_seconds: float = IDLE_SECONDS) -> DataFram
             F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         )
     )
-    before = F.lag("last_us").over(Window.partitionBy("job_id").orderBy("slot"))
+    if seeds is not None:
+        none = F.lit(None)
+        slots = slots.unionByName(seeds.where(F.col("last_us").isNotNull()).select(
+            "job_id", none.cast("bigint").alias("slot"), none.cast("bigint").alias("seq"),
+            none.cast(slots.schema["ts"].dataType).alias("ts"), none.cast("bigint").alias("first_us"), "last_us",
+        ))
+    before = F.lag("last_us").over(
+        Window.partitionBy("job_id").orderBy(F.col("slot").asc_nulls_first(), "last_us")
+    )
     return (
         slots.withColumn("pause_us", F.col("first_us") - before)
         .where(F.col("pause_us") >= idle_us)
@@ -206,12 +229,43 @@ def _events(df: DataFrame, sub: int, event_type: str, text: Column, num: Column)
     )
 
 
+def line_events(
+    lines: DataFrame,
+    registry: Registry,
+    interval_sec: float | None = None,
+    idle_seconds: float = IDLE_SECONDS,
+    seeds: DataFrame | None = None,
+    started: DataFrame | None = None,
+) -> DataFrame:
+    """The events that lines cause: ``heartbeat``, ``log`` and ``progress``; see ``job_events``.
+
+    ``seeds(job_id, allowed_us, best, last_us)`` is what earlier lines left; ``started(job_id, last_us)``
+    counts for runs without a last line.
+    """
+    nothing = F.lit(None)
+    heard = seeds
+    if started is not None:
+        heard = started.select("job_id", "last_us")
+        if seeds is not None:
+            last = seeds.where(F.col("last_us").isNotNull()).select("job_id", "last_us")
+            heard = heard.join(last, "job_id", "left_anti").unionByName(last)
+    feed = _events(
+        idle_beats(lines, idle_seconds, heard), SUB_HEARTBEAT, "heartbeat", nothing, F.col("beats")
+    )
+    allowed = None if seeds is None else seeds.where(F.col("allowed_us").isNotNull())
+    visible = throttle(matching_lines(lines, registry), registry, interval_sec, allowed)
+    feed = feed.unionByName(_events(visible, SUB_LOG, "log", F.col("line"), nothing))
+    news = monotonic_progress(lines, registry, seeds)
+    return feed.unionByName(_events(news, SUB_PROGRESS, "progress", nothing, F.col("progress")))
+
+
 def job_events(
     lines: DataFrame,
     registry: Registry,
     ended: DataFrame | None = None,
     interval_sec: float | None = None,
     idle_seconds: float = IDLE_SECONDS,
+    started: DataFrame | None = None,
 ) -> DataFrame:
     """The feed a follower of each run would get, as rows.
 
@@ -219,15 +273,13 @@ def job_events(
     ``progress`` when it tops all before. ``ended`` has ``job_id, ts, exit_code`` and
     ``error`` (text or NULL), and ``started_at`` where known, and adds the beats before the
     end and the closing ``error`` and ``done``, which have no ``seq``. Order by ``job_id, seq`` (nulls last), ``sub``.
+    ``started`` has ``job_id, started_at``, from which a run's pause before its first line counts.
     """
     nothing = F.lit(None)
-    feed = _events(
-        idle_beats(lines, idle_seconds), SUB_HEARTBEAT, "heartbeat", nothing, F.col("beats")
-    )
-    visible = throttle(matching_lines(lines, registry), registry, interval_sec)
-    feed = feed.unionByName(_events(visible, SUB_LOG, "log", F.col("line"), nothing))
-    news = monotonic_progress(lines, registry)
-    feed = feed.unionByName(_events(news, SUB_PROGRESS, "progress", nothing, F.col("progress")))
+    opened = None
+    if started is not None:
+        opened = started.select("job_id", micros(F.col("started_at")).alias("last_us"))
+    feed = line_events(lines, registry, interval_sec, idle_seconds, started=opened)
     if ended is None:
         return feed
     code = resolve_exit_code(F.col("exit_code"), nothing)

@@ -60,6 +60,12 @@ _BEATS = f"""SELECT job_id, seq, ts, CAST(pause // 15000000 AS BIGINT) AS beats
  SELECT job_id, seq, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY seq) AS pause FROM {_LINES})
  WHERE pause >= 15000000"""
 
+# A follower waits from the run's start on, so the first line has a pause too.
+_BEATS_FROM_START = f"""SELECT job_id, seq, ts, CAST(pause // 15000000 AS BIGINT) AS beats FROM (
+ SELECT job_id, seq, l.ts, epoch_us(l.ts) - coalesce(lag(epoch_us(l.ts)) OVER (PARTITION BY job_id ORDER BY seq),
+  epoch_us(CAST(r.started_at AS TIMESTAMP))) AS pause FROM {_LINES} l LEFT JOIN job_runs r ON r.id = l.job_id)
+ WHERE pause >= 15000000"""
+
 
 def _throttled(interval_us: str) -> str:
     """Chain of shown lines: from each one on to the first that is late enough."""
@@ -78,7 +84,7 @@ _GAP_LONG = str(round(THROTTLE_SEC * 1_000_000))
 
 _EVENTS = f"""{_throttled(_GAP_LONG)},
 ended AS (SELECT * FROM job_runs WHERE finished_at IS NOT NULL)
-SELECT job_id, CAST(seq AS BIGINT) AS seq, CAST(0 AS INTEGER) AS sub, ts, 'heartbeat' AS event_type, CAST(NULL AS VARCHAR) AS text, CAST(beats AS INTEGER) AS num FROM ({_BEATS})
+SELECT job_id, CAST(seq AS BIGINT) AS seq, CAST(0 AS INTEGER) AS sub, ts, 'heartbeat' AS event_type, CAST(NULL AS VARCHAR) AS text, CAST(beats AS INTEGER) AS num FROM ({_BEATS_FROM_START})
 UNION ALL SELECT job_id, seq, 1, ts, 'log', line, NULL FROM shown
 UNION ALL SELECT job_id, seq, 2, ts, 'progress', NULL, progress FROM ({_MONOTONIC})
 UNION ALL SELECT id, NULL, 0, finished_at, 'heartbeat', NULL, CAST(pause // 15000000 AS INTEGER) FROM (
@@ -210,6 +216,7 @@ FROM access_requests a LEFT JOIN users u ON u.id = a.viewer_id AND u.is_active L
     "log_progress": ("job_log_lines", f"SELECT job_id, seq, {_PROGRESS} AS progress FROM {_LINES}"),
     "progress_monotonic": ("job_log_lines", _MONOTONIC),
     "idle_beats": ("job_log_lines", _BEATS),
+    "idle_beats_from_start": ("job_log_lines job_runs", _BEATS_FROM_START),
     "log_throttle": ("job_log_lines", f"{_throttled(_GAP_LONG)} SELECT * FROM shown"),
     "log_throttle_own_interval": ("job_log_lines", f"{_throttled(_GAP_OWN)} SELECT * FROM shown"),
     "job_events": ("job_log_lines job_runs", _EVENTS),

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import default_registry, schemas
-from runledger.functions.runs import UNKNOWN_EXIT
+from runledger.functions.runs import UNKNOWN_EXIT, micros
 from runledger.operators import (
     commands, convert, history, inventory, logs, requests, samples, throttle,
 )
 from runledger.plans.bridge import SITES, stream, view
-from runledger.session import STATE_STORE, scratch_path, ship_package, temporary_conf, use_utc
+from runledger.session import scratch_path, ship_package, use_utc
 from runledger.sources import dat, tables
-from runledger.streaming import feed, outcomes
+from runledger.streaming import batches, outcomes
 
 REGISTRY = default_registry()
 
@@ -202,23 +202,29 @@ def job_events(spark: SparkSession, sf: str) -> DataFrame:
         F.when(lost, "container not found").alias("error"),
     )
     return logs.job_events(
-        view("job_log_lines", spark, sf), REGISTRY, ended, interval_sec=THROTTLE_SEC
+        view("job_log_lines", spark, sf), REGISTRY, ended, interval_sec=THROTTLE_SEC,
+        started=_starts(spark, sf),
     )
 
 
+def _starts(spark: SparkSession, sf: str) -> DataFrame:
+    return view("job_runs", spark, sf).select(F.col("id").alias("job_id"), "started_at")
+
+
+def idle_beats_from_start(spark: SparkSession, sf: str) -> DataFrame:
+    """Idle periods before each line, also before a run's first one, counted from the run's start."""
+    started = _starts(spark, sf).select("job_id", micros(F.col("started_at")).alias("last_us"))
+    return logs.idle_beats(view("job_log_lines", spark, sf), seeds=started)
+
+
 def feed_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The feed as a stream over the log table, run to its end and read back."""
-    events = feed.follow(stream("job_log_lines", spark, sf), REGISTRY, interval_sec=THROTTLE_SEC)
-    out = scratch_path(spark, "feed")
-    with temporary_conf(spark, {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}):
-        query = (
-            events.writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", scratch_path(spark, "checkpoint"))
-            .trigger(availableNow=True).start(out)
-        )
-        query.awaitTermination()
-    rows = spark.read.schema(schemas.JOB_EVENTS).parquet(out)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = batches.Feed(scratch_path(spark, "feed"))
+    batches.follow_batches(
+        stream("job_log_lines", spark, sf), REGISTRY, out, scratch_path(spark, "checkpoint"),
+        interval_sec=THROTTLE_SEC, started=lambda: _starts(spark, sf),
+    ).awaitTermination()
+    return out.events(spark).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def outcome_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -372,6 +378,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_progress": log_progress,
     "progress_monotonic": progress_monotonic,
     "idle_beats": idle_beats,
+    "idle_beats_from_start": idle_beats_from_start,
     "log_throttle": _throttled(THROTTLE_SEC),
     "log_throttle_own_interval": _throttled(None),
     "job_events": job_events,

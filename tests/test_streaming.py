@@ -10,7 +10,7 @@ from runledger.operators import history, logs
 from runledger.plans.bridge import view
 from runledger.session import temporary_conf
 from runledger.sources import tables
-from runledger.streaming import feed, outcomes
+from runledger.streaming import batches, feed, outcomes
 
 REGISTRY = default_registry()
 SF = "/root/testdata/sf0.001"
@@ -140,3 +140,67 @@ def test_outcomes_are_recorded(spark, tmp_path):
     now = history.current_state(tables.read_state_writes(spark, state))
     got = {r.run_id: (r.status, r.exit_code) for r in now.collect()}
     assert got == {1: ("success", 0), 2: ("failed", 3), 3: ("failed", -1), 4: ("running", None)}
+
+
+def test_seeded_batches_equal_one_batch(spark, tmp_path, line_files):
+    """Four micro-batches, each seeded with the state before it; pauses count from the start of a run."""
+    lines, path = line_files
+    first = lines.agg(F.min("ts").alias("t")).collect()[0].t
+    jobs = [r.job_id for r in lines.select("job_id").distinct().collect()]
+    begun = spark.createDataFrame([(j, first - dt.timedelta(hours=j)) for j in jobs], "job_id LONG, started_at TIMESTAMP")
+    stream = spark.readStream.schema(schemas.LOG_LINES).option("maxFilesPerTrigger", 1).parquet(path)
+    out = batches.Feed(str(tmp_path / "feed"))
+    query = batches.follow_batches(
+        stream, REGISTRY, out, str(tmp_path / "checkpoint"), interval_sec=SIX_HOURS, started=lambda: begun
+    )
+    assert query.awaitTermination(240) and query.exception() is None
+    expected = rows_of(logs.job_events(lines, REGISTRY, interval_sec=SIX_HOURS, started=begun))
+    assert rows_of(out.events(spark)) == expected
+    assert out.late(spark).count() == 0
+    assert len(list((tmp_path / "feed" / "events").iterdir())) == 4
+    # A batch that runs again from an older checkpoint changes nothing.
+    for kind in ("commits", "offsets"):
+        for name in ("3", ".3.crc"):
+            if kind == "commits":
+                (tmp_path / "checkpoint" / kind / name).unlink(missing_ok=True)
+    query = batches.follow_batches(
+        stream, REGISTRY, out, str(tmp_path / "checkpoint"), interval_sec=SIX_HOURS, started=lambda: begun
+    )
+    assert query.awaitTermination(240) and query.exception() is None
+    assert rows_of(out.events(spark)) == expected
+
+
+def test_late_and_repeated_lines_go_aside(spark, tmp_path):
+    path, start = str(tmp_path / "lines"), dt.datetime(2024, 1, 1)
+    out, checkpoint = batches.Feed(str(tmp_path / "feed")), str(tmp_path / "checkpoint")
+
+    def run(*lines):
+        rows = [(1, seq, start + dt.timedelta(seconds=seq), "abstec-suite", text) for seq, text in lines]
+        spark.createDataFrame(rows, schemas.LOG_LINES).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schemas.LOG_LINES).parquet(path)
+        query = batches.follow_batches(stream, REGISTRY, out, checkpoint, ended=lambda: gone)
+        assert query.awaitTermination(120) and query.exception() is None
+
+    gone = spark.createDataFrame([], "job_id LONG")
+    run((0, "Progress: 10%"), (1, "Progress: 20%"), (1, "Progress: 90%"), (40, "Progress: 30%"))
+    run((2, "Progress: 99%"), (40, "Progress: 99%"), (41, ""), (42, "Progress: 30%"), (43, "Progress: 31%"))
+    assert sorted(r.seq for r in out.late(spark).collect()) == [1, 2, 40]
+    got = [(r.seq, r.event_type, r.num) for r in out.events(spark).orderBy("seq", "sub").collect()]
+    assert [(s, n) for s, kind, n in got if kind == "heartbeat"] == [(40, 2)]
+    progress = [(s, n) for s, kind, n in got if kind == "progress"]
+    assert progress[0] == (0, 10) and progress[-2:] == [(40, 30), (43, 31)]
+    assert out.state(spark, 1).collect()[0].last_seq == 43
+    gone = spark.createDataFrame([(1,)], "job_id LONG")
+    run((50, "Progress: 32%"),)
+    assert out.state(spark, 2).count() == 0
+
+
+def test_pause_before_the_first_line(spark):
+    start = dt.datetime(2024, 1, 1)
+    lines = spark.createDataFrame(
+        [(job, 0, start + dt.timedelta(seconds=s), "tec-suite", "x") for job, s in ((1, 46), (2, 14), (3, 900))],
+        schemas.LOG_LINES,
+    )
+    begun = spark.createDataFrame([(1, start), (2, start), (9, start)], "job_id LONG, started_at TIMESTAMP")
+    events = logs.job_events(lines, REGISTRY, started=begun).where("event_type = 'heartbeat'").collect()
+    assert [(r.job_id, r.seq, r.num) for r in events] == [(1, 0, 3)]
