@@ -257,6 +257,13 @@ SELECT DISTINCT id, CAST(doy AS INTEGER) AS doy FROM (SELECT id, unnest(range(lo
                      + " FROM tec_samples GROUP BY year, doy"),
     "dat_to_parquet": ("tec_samples", _SAMPLES),
     "dat_roundtrip": ("tec_samples", _SAMPLES),
+    "convert_incremental": ("tec_samples", _SAMPLES),
+    "convert_overwrite": ("tec_samples", _SAMPLES),
+    "archive_scan": ("tec_samples", """WITH days AS (SELECT DISTINCT 'year=' || CAST(year AS VARCHAR) AS y, 'doy=' || CAST(doy AS VARCHAR) AS d FROM tec_samples)
+SELECT DISTINCT y AS path, true AS is_dir FROM days UNION ALL SELECT y || '/' || d, true FROM days
+UNION ALL SELECT y || '/' || d || '/file', false FROM days"""),
+    "log_text": ("job_log_lines", f"""SELECT CAST(job_id % 16 AS BIGINT) AS part, row_number() OVER (
+ PARTITION BY job_id % 16 ORDER BY job_id, seq) - 1 AS seq, line FROM {_LINES}"""),
     "convert_pending": ("file_manifest", "SELECT path FROM file_manifest WHERE NOT (path LIKE '%1.zip' OR path LIKE '%/0%')"),
 }
 

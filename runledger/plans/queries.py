@@ -14,7 +14,8 @@ from runledger.operators import (
 )
 from runledger.plans.bridge import SITES, stream, view
 from runledger.session import scratch_path, ship_package, use_utc
-from runledger.sources import dat, tables
+from runledger.sources import archive, dat, tables
+from runledger.sources import logs as log_source
 from runledger.streaming import batches, outcomes
 
 REGISTRY = default_registry()
@@ -349,6 +350,48 @@ def dat_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return dat.read_dat(spark, dst, schemas.SAMPLES).select(_SAMPLE_COLUMNS)
 
 
+def convert_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Text samples that arrive in two parts, converted three times; the last time there is nothing to do."""
+    src, dst = scratch_path(spark, "dat"), scratch_path(spark, "samples")
+    rows = view("tec_samples", spark, sf)
+    for part in ("doy % 3 = 0", "doy % 3 <> 0"):
+        dat.write_dat(rows.where(part), src, schemas.SAMPLES)
+        convert.dat_to_parquet(spark, src, dst, schemas.SAMPLES)
+    convert.dat_to_parquet(spark, src, dst, schemas.SAMPLES)
+    return dat.read_samples(spark, dst).select(_SAMPLE_COLUMNS)
+
+
+def convert_overwrite(spark: SparkSession, sf: str) -> DataFrame:
+    """Text samples converted twice, the second time in place of the first."""
+    src, dst = _stored_as_text(spark, sf), scratch_path(spark, "samples")
+    for again in (False, True):
+        convert.dat_to_parquet(spark, src, dst, schemas.SAMPLES, overwrite=again)
+    return dat.read_samples(spark, dst).select(_SAMPLE_COLUMNS)
+
+
+def archive_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders and files of a stored table of days, as the scan of an archive sees them."""
+    root = scratch_path(spark, "archive")
+    days = view("tec_samples", spark, sf).select("year", "doy", "site").distinct()
+    days.repartition("year", "doy").write.partitionBy("year", "doy").csv(root)
+    named = F.when(F.col("is_dir"), F.col("path")).otherwise(F.regexp_replace("path", "/part-[^/]+$", "/file"))
+    return archive.scan_archive(spark, root).where("NOT startswith(path, '_') AND NOT startswith(path, '.')").select(
+        named.alias("path"), "is_dir"
+    ).where("NOT path LIKE '%.crc'")
+
+
+def log_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered lines of text files that hold the log of several runs each."""
+    root = scratch_path(spark, "logs")
+    lines = view("job_log_lines", spark, sf).withColumn("part", F.pmod("job_id", F.lit(16)))
+    (
+        lines.repartition("part").sortWithinPartitions("part", "job_id", "seq")
+        .select("part", "line").write.partitionBy("part").text(root)
+    )
+    part = F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("bigint")
+    return log_source.read_log_text(spark, root).select(part.alias("part"), "seq", "line")
+
+
 def convert_pending(spark: SparkSession, sf: str) -> DataFrame:
     manifest = view("file_manifest", spark, sf)
     done = manifest.where("path LIKE '%1.zip' OR path LIKE '%/0%'")
@@ -399,6 +442,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dat_to_parquet": dat_to_parquet,
     "dat_roundtrip": dat_roundtrip,
     "convert_pending": convert_pending,
+    "convert_incremental": convert_incremental,
+    "convert_overwrite": convert_overwrite,
+    "archive_scan": archive_scan,
+    "log_text": log_text,
 }
 
 

@@ -85,14 +85,44 @@ def _site(path: Column) -> Column:
 
 
 def read_dat(
-    spark: SparkSession, root: str, schema: T.StructType, subpath: str = ""
+    spark: SparkSession, root: str, schema: T.StructType, subpath: str = "", only: list[str] | None = None
 ) -> DataFrame:
     """Samples of the DAT files below a root, or below one folder of it.
 
     Adds ``year, doy, site`` and ``rel_path``, taken from the place of the file. Files with
-    other names are not samples; ``misplaced_files`` lists DAT files outside the layout.
+    other names are not samples; ``misplaced_files`` lists DAT files outside the layout. ``only`` names the files
+    to read, as ``dat_files`` gives their ``file``; others are listed but not opened.
     """
-    return parse_dat(_dat_lines(spark, root, subpath), schema)
+    return parse_dat(_dat_lines(spark, root, subpath, only), schema)
+
+
+def _listed(spark: SparkSession, root: str, names: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names)
+    return reader.load(root).select(
+        "path", F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes")
+    )
+
+
+def _place(file: Column) -> dict[str, Column]:
+    return {
+        "year": F.regexp_extract(file, _LAYOUT, 2).try_cast("int"),
+        "doy": F.regexp_extract(file, _LAYOUT, 3).try_cast("int"),
+        "site": _site(file),
+        "rel_path": F.regexp_extract(file, _LAYOUT, 1),
+    }
+
+
+def dat_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, file, bytes, year, doy, site, rel_path`` of the DAT files below a root; contents are not read.
+
+    Files outside the layout have no year, day and site and an empty ``rel_path``.
+    """
+    return _listed(spark, root, _FILES).withColumns(_place(F.col("file")))
+
+
+def sample_files(spark: SparkSession, root: str) -> DataFrame:
+    """The same of stored Parquet samples."""
+    return _listed(spark, root, "*.parquet").withColumns(_place(F.col("file")))
 
 
 def misplaced_files(spark: SparkSession, root: str) -> DataFrame:
@@ -100,31 +130,26 @@ def misplaced_files(spark: SparkSession, root: str) -> DataFrame:
 
     ``read_dat`` cannot place their samples. Contents are not read.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _FILES).load(root)
-    )
-    return files.where(~F.col("path").rlike(_LAYOUT)).select("path")
+    return dat_files(spark, root).where("rel_path = ''").select("path")
 
 
-def _dat_lines(spark: SparkSession, root: str, subpath: str = "") -> DataFrame:
+def _dat_lines(
+    spark: SparkSession, root: str, subpath: str = "", only: list[str] | None = None
+) -> DataFrame:
     folder = root.rstrip("/") + ("/" + subpath.strip("/") if subpath.strip("/") else "")
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _FILES)
     raw = reader.text(folder)
     path = F.col("_metadata.file_path")
-    return raw.select(
-        F.regexp_extract(path, _LAYOUT, 2).try_cast("int").alias("year"),
-        F.regexp_extract(path, _LAYOUT, 3).try_cast("int").alias("doy"),
-        _site(path).alias("site"),
-        F.regexp_extract(path, _LAYOUT, 1).alias("rel_path"),
-        "value",
-    ).where(F.col("year").isNotNull())
+    if only is not None:
+        raw = raw.where(path.isin(only))
+    place = _place(path)
+    return raw.select(*(place[c].alias(c) for c in place), "value").where(F.col("year").isNotNull())
 
 
-def stored_lines(spark: SparkSession, root: str) -> DataFrame:
+def stored_lines(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
     """``year, doy, site, value``: the different lines of stored DAT files, as they stand."""
     text = F.btrim(F.col("value"), F.lit(" \t\r\n"))
-    return _dat_lines(spark, root).select(*PARTITIONS, text.alias("value")).distinct()
+    return _dat_lines(spark, root, only=only).select(*PARTITIONS, text.alias("value")).distinct()
 
 
 def _save(samples: DataFrame, path: str, kind: str, replace_folders: bool) -> None:
@@ -159,11 +184,13 @@ def write_samples(samples: DataFrame, path: str, replace_folders: bool = False)
     _save(_by_folder(samples), path, "parquet", replace_folders)
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Stored Parquet samples. Sites stay text, also when their names are digits."""
+def read_samples(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
+    """Stored Parquet samples. Sites stay text, also when their names are digits. ``only`` names the files to read."""
     as_text = {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}
     with temporary_conf(spark, as_text):
         rows = spark.read.parquet(path)
+    if only is not None:
+        rows = rows.where(F.col("_metadata.file_path").isin(only))
     return rows.withColumns({c: F.col(c).cast("int") for c in ("year", "doy")})
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,24 +22,42 @@ def _keep(lines: DataFrame) -> DataFrame:
     return lines.where(F.length("line") > 0)
 
 
-def read_log_text(spark: SparkSession, path: str) -> DataFrame:
+# A file that was turned over: its number, and what packed it since.
+_TURNED = r"\.([0-9]+)(\.(?:gz|bz2|zst|lz4|snappy|deflate))?\z"
+
+
+def read_log_text(spark: SparkSession, path: str, rotated: bool = False) -> DataFrame:
     """``(file, seq, line)`` of text logs: empty lines dropped, blank ones kept.
 
-    Only LF ends a line, so a CR inside one stays. ``seq`` rises along each file, with gaps.
-    It needs no shuffle: a task reads at most one split's worth of bytes and a line takes at
-    least one, so counting on from twice the offset of the split never reaches the next.
-    That holds for plain text; read compressed files apart from it.
+    Only LF ends a line, so a CR inside one stays. ``seq`` numbers the lines kept of each file from 0 without gaps, for
+    plain and compressed files alike. With ``rotated``, files like ``run.log.2``, ``run.log.1.gz`` and ``run.log``
+    are one, ``run.log``, the highest number being the oldest.
+
+    A split is read by one task from front to back, so a line's place in it is known at once. Lines are counted per
+    split, and the splits before it are added up: the text is read twice and never shuffled by file. The files must not change meanwhile.
     """
-    if spark.conf.get("spark.sql.files.maxPartitionNum", None):
-        raise ValueError("unset spark.sql.files.maxPartitionNum: it makes tasks read more")
     raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
-    row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = raw.select(
-        F.col("_metadata.file_path").alias("file"),
-        (F.col("_metadata.file_block_start") * 2 + row_in_task).alias("seq"),
+    split = ["file", "start"]
+    kept = _keep(raw.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         clean_line(F.col("value")).alias("line"),
+    ))
+    lines = kept.withColumn("row", F.monotonically_increasing_id())
+    whole, turn = F.col("file"), F.lit(0)
+    if rotated:
+        number = F.regexp_extract("file", _TURNED, 1).try_cast("bigint")
+        whole, turn = F.regexp_replace("file", _TURNED, ""), F.coalesce(number, F.lit(-1))
+    counts = lines.groupBy(*split).agg(F.count("*").alias("lines"), F.min("row").alias("first"))
+    before = (
+        Window.partitionBy("whole").orderBy(F.col("turn").desc(), "file", "start")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    shifts = counts.withColumns({"whole": whole, "turn": turn}).select(
+        *split, "whole", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).alias("shift")
+    )
+    return lines.join(shifts, split).select(
+        F.col("whole").alias("file"), (F.col("row") + F.col("shift")).alias("seq"), "line"
     )
-    return _keep(numbered)
 
 
 def stream_log_text(

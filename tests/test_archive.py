@@ -71,5 +71,23 @@ def test_roots_of_any_form(spark, tmp_path):
     (tmp_path / "x" / "arch" / "arch" / "a.zip").write_text("x")
     base = str(tmp_path)
     for root in (f"{base}/x//arch", f"{base}/x/./arch", f"{base}/x/arch/../arch", f"file:{base}/x/arch"):
-        assert [r.path for r in scan_archive(spark, root).collect()] == ["arch/a.zip"]
+        found = sorted(map(tuple, scan_archive(spark, root).collect()))
+        assert found == [("arch", True), ("arch/a.zip", False)]
     assert scan_archive(spark, f"{base}/x/arch/arch/a.zip").count() == 0
+
+
+def test_folders_without_files_and_names_spark_passes_over(spark, tmp_path):
+    for path in [*TREE, "2026_original/003/_x.zip", "2026_original/003/.y.zip", "2026_original/004/.zip"]:
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    for path in ("misc", "2024_original/077", "2023_original"):
+        (tmp_path / path).mkdir(parents=True)
+    found = scan_archive(spark, str(tmp_path))
+    assert days_of(found) == DAYS | {
+        ("2026_original", "003"): 2, ("2026_original", "004"): 0, ("2024_original", "077"): 0,
+    }
+    assert [(y, len(d)) for y, d in tree_of(found)] == [
+        ("2026_original", 5), ("2025_original", 1), ("2024_original", 1), ("2023_original", 0),
+    ]
+    paths = [r.path for r in found.collect()]
+    assert len(paths) == len(set(paths)) and "misc" in paths

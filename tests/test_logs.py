@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import random
 
 import numpy as np
@@ -290,23 +291,35 @@ def test_log_text(spark, tmp_path):
     assert [r.line for r in spark.table("log_text").collect()] == EXPECTED
 
 
-def test_line_numbers_rise_along_each_file(spark, tmp_path):
-    """Many small splits, packed several to a task."""
+def test_line_numbers_of_split_and_packed_files(spark, tmp_path):
+    """Many small splits, several to a task, and a compressed file next to them."""
     rng = random.Random(3)
     expected = {}
     for name in "abcd":
         lines = [f"{name}{i}" + "x" * rng.randrange(12) for i in range(rng.randrange(20, 90))]
-        (tmp_path / f"{name}.log").write_text("".join(t + "\n" * rng.choice([1, 1, 4]) for t in lines))
+        text = "".join(t + "\n" * rng.choice([1, 1, 4]) for t in lines)
+        if name == "d":
+            with gzip.open(tmp_path / "d.log.gz", "wt") as out:
+                out.write(text)
+        else:
+            (tmp_path / f"{name}.log").write_text(text)
         expected[name] = lines
     small = {"spark.sql.files.maxPartitionBytes": "61", "spark.sql.files.openCostInBytes": "0"}
     with temporary_conf(spark, small):
-        df = read_log_text(spark, str(tmp_path))
-        assert df.rdd.getNumPartitions() > 10
-        rows = df.collect()
+        rows = read_log_text(spark, str(tmp_path)).collect()
     for name, lines in expected.items():
         mine = sorted((r.seq, r.line) for r in rows if r.line[0] == name)
-        assert [t for _, t in mine] == lines
-        assert len({s for s, _ in mine}) == len(mine)
+        assert mine == list(enumerate(lines))
+
+
+def test_rotated_files_are_numbered_as_one(spark, tmp_path):
+    parts = {"run.log.10": "a b", "run.log.2.gz": "c d e", "run.log.1": "f", "run.log": "g h", "other.log": "x y"}
+    for name, text in parts.items():
+        with (gzip.open if name.endswith("gz") else open)(tmp_path / name, "wt") as out:
+            out.write(text.replace(" ", "\n\n") + "\n")
+    rows = read_log_text(spark, str(tmp_path), rotated=True).orderBy("file", "seq").collect()
+    assert [(r.file.split("/")[-1], r.seq, r.line) for r in rows] == [
+        *(("other.log", k, t) for k, t in enumerate("xy")), *(("run.log", k, t) for k, t in enumerate("abcdefgh"))]
 
 
 def test_stream_of_new_files_only(spark, tmp_path):

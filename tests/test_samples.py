@@ -237,3 +237,55 @@ def test_only_dat_files_are_samples(spark, tmp_path):
     write(root, "2024/flat.dat", "2024-01-07T00:00:00 G03 10 1")
     assert [r.sat for r in dat.read_dat(spark, root, schemas.SAMPLES).collect()] == ["G01"]
     assert [r.path.split("/")[-1] for r in dat.misplaced_files(spark, root).collect()] == ["flat.dat"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nothing_new_reads_no_text(spark, tmp_path, monkeypatch):
+    src, dst = str(tmp_path / "in"), str(tmp_path / "out")
+    write(src, "2024/007/aksu/a.dat", "2024-01-07T00:00:00 G01 10 1")
+    write(src, "2024/flat.dat", "2024-01-07T00:00:00 G09 10 1")
+    convert.dat_to_parquet(spark, src, dst, schemas.SAMPLES)
+    assert [tuple(r) for r in convert.ledger(spark, dst).collect()] == [("2024/007/aksu/a.dat", 29)]
+    assert [(r.path.split("/")[-1], r.reason) for r in convert.left_out(spark, dst).collect()] == [
+        ("flat.dat", "no year, day and site in its folders")]
+    monkeypatch.setattr(dat, "read_dat", lambda *a, **b: pytest.fail("text was read"))
+    monkeypatch.setattr(dat, "write_samples", lambda *a, **b: pytest.fail("samples were written"))
+    convert.dat_to_parquet(spark, src, dst, schemas.SAMPLES)
+    listing = plan_of(dat.dat_files(spark, src))
+    assert "content" not in listing[listing.index("ReadSchema"):]
+
+
+def test_only_new_files_are_opened(spark, tmp_path):
+    src, dst = str(tmp_path / "in"), str(tmp_path / "out")
+    for day in ("007", "008", "009"):
+        write(src, f"2024/{day}/aksu/a.dat", f"2024-01-{day[1:]}T00:00:00 G01 10 1")
+    only = [r.file for r in dat.dat_files(spark, src).where("doy = 8").collect()]
+    rows = dat.read_dat(spark, src, schemas.SAMPLES, only=only)
+    assert [r.doy for r in rows.collect()] == [8] and rows.rdd.getNumPartitions() == 1
+    convert.dat_to_parquet(spark, src, dst, schemas.SAMPLES)
+    write(src, "2024/007/aksu/b.dat", "2024-01-07T00:00:30 G02 10 1")
+    convert.dat_to_parquet(spark, src, dst, schemas.SAMPLES)
+    assert sorted((r.doy, r.sat) for r in dat.read_samples(spark, dst).collect()) == [
+        (7, "G01"), (7, "G02"), (8, "G01"), (9, "G01")]
+    assert convert.ledger(spark, dst).count() == 4
+
+
+def test_a_conversion_that_broke_off_is_repeated_once(spark, tmp_path, monkeypatch):
+    src, dst = str(tmp_path / "in"), str(tmp_path / "out")
+    write(src, "2024/007/aksu/a.dat", "2024-01-07T00:00:00 G01 10 1", "2024-01-07T00:00:30 G01 10 1")
+    write(src, "2024/007/aksu/b.dat", "2024-01-07T00:00:00 G02 10 1")
+    convert.dat_to_parquet(spark, src, dst, schemas.SAMPLES)
+    write(src, "2024/007/aksu/c.dat", "2024-01-07T00:00:00 G03 10 1")
+
+    def broken(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(convert, "_commit", broken)
+        with pytest.raises(OSError):
+            convert.dat_to_parquet(spark, src, dst, schemas.SAMPLES)
+    convert.dat_to_parquet(spark, src, dst, schemas.SAMPLES)
+    assert sorted(r.sat for r in dat.read_samples(spark, dst).collect()) == ["G01", "G01", "G02", "G03"]
