@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship_package(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Folders written for the stage at work in this thread, and for the one before.
+_stage = threading.local()
+
+
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` written to the folder all executors share, and read again.
 
@@ -31,10 +37,39 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     """
     spark = rows.sparkSession
     path = scratch_path(spark, name)
+    if getattr(_stage, "open", False):
+        _stage.folders.append(path)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def stage_scratch(docs: DataFrame) -> Iterator[None]:
+    """Around a stage: drops what the stage before in this thread stored for itself.
+
+    Its result has been written and is read as ``docs``. A folder that ``docs`` still reads from stays, so a stage may
+    also be put on another one's unwritten result.
+    """
+    spark = docs.sparkSession
+    before = getattr(_stage, "folders", [])
+    names = {path: path.rstrip("/").rsplit("/", 1)[1] for path in before}
+    in_use = {part for file in docs.inputFiles() for part in file.split("/")} if before else set()
+    _stage.folders = [path for path in before if names[path] in in_use]
+    for path in before:
+        if names[path] not in in_use:
+            drop_folder(spark, path)
+    _stage.open = True
+    try:
+        yield
+    finally:
+        _stage.open = False
+
+
 def fresh(rows: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``rows`` does not have."""
     taken = {c.lower() for c in rows.columns}
