@@ -1,9 +1,9 @@
 """From raw documents to a training mix: five stages, each over all its predecessor kept.
 
 Every stage takes nulls in any column, empty and very long texts, ties, repeated rows, empty tables and further
-columns of any name, as its operator states; it returns the columns it was given, and an empty table for an empty one. Null and
-empty texts are not toxic and not contaminated; line dedup drops them, as they have no word; a text without words is no one's copy. Rows that
-repeat are judged one by one, but near-dedup keeps one of them.
+columns of any name, as its operator states; it returns the columns it was given, and an empty table for an empty one. Toxicity
+scores null and empty texts like others, line dedup drops only what it has emptied itself, a text without words is no one's
+copy and holds no benchmark passage, and its size in the mix is 0. Rows that repeat are judged one by one, but near-dedup keeps one of them.
 """
 
 from __future__ import annotations

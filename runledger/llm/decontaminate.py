@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from runledger.llm.common import WordHashes, bloom, gram_hashes, might_contain, stored
+from runledger.llm.common import WordHashes, bloom, gram_hashes, might_contain, named, stored
 
 # Lower-cases A-Z; other ASCII characters than letters and digits part words.
 _LETTERS = bytes(
@@ -138,7 +138,7 @@ def contamination(
     )
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
     keyed = docs.select(
-        F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("uid"),
+        F.struct(*named(docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("uid"),
         F.col(text_column).alias("text"),
     )
     rows = stored(

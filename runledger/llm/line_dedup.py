@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import WORD, stored
+from runledger.llm.common import WORD, named, stored
 
 
 def _words(line: Column) -> Column:
@@ -155,7 +155,7 @@ def dedup_lines(
     results = ("n_lines", "n_removed", "emptied")
     docs = docs.drop(*(c for c in docs.columns if c.lower() in results))
     rows = stored(
-        docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("uid")),
+        docs.select(F.struct(*named(docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("uid")),
         "keyed-docs",
     )
     text = F.col("doc")[text_column]

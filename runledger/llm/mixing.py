@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import stored, word_count
+from runledger.llm.common import named, stored, word_count
 
 _RANGE = 2048
 _KEYS = 1 << 31
@@ -74,7 +74,7 @@ def mix(
     docs = docs.drop(*(c for c in docs.columns if c.lower() in results))
     others = [c for c in docs.columns if c.lower() != text_column.lower()]
     rows = docs.select(
-        F.struct(*others).alias("doc"), F.col(source_column).alias("source"),
+        F.struct(*named(others)).alias("doc"), F.col(source_column).alias("source"),
         word_count(F.col(text_column)).alias("size"),
         F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("id"),
     ).withColumn(

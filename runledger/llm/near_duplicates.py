@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from runledger.llm.common import (
-    WordHashes, bloom, gram_hashes, mixed, only_likely, stored,
+    WordHashes, bloom, gram_hashes, mixed, named, only_likely, stored,
 )
 from runledger.llm.components import connected_components
 
@@ -339,7 +339,7 @@ def near_duplicates(
     results = ("n_shingles", "component_id", "kept", "keeper")
     docs = docs.drop(*(c for c in docs.columns if c.lower() in results))
     keyed = docs.select(
-        F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("uid"),
+        F.struct(*named(docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("uid"),
         F.col(text_column).alias("text"),
     )
     rows = stored(sketched(keyed, "text", n).drop("text"), "sketches")

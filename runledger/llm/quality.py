@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from runledger.llm.common import WordHashes, gram_hashes, stored
+from runledger.llm.common import WordHashes, gram_hashes, named, stored
 
 SYMBOLS, SPACE = "#*$%&|<>", " \t\n\x0b\x0c\r"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -176,7 +176,7 @@ def judge_quality(
     docs = docs.drop(*(c for c in docs.columns if c.lower() in results))
     carried = docs.columns if keep_text else [c for c in docs.columns if c.lower() != text_column.lower()]
     packed = docs.select(
-        F.struct(*carried).alias("doc"), F.col(text_column).alias("text"),
+        F.struct(*named(carried)).alias("doc"), F.col(text_column).alias("text"),
         F.col(lang_column).alias("lang"), F.col(source_column).alias("source"),
     )
     rows = stored(measured(packed, "text").drop("text"), "quality-counts")

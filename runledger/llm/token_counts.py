@@ -18,8 +18,11 @@ from dataclasses import dataclass
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from runledger.llm.common import named
+
 MARK = "▁"
 UNKNOWN_COST = 10.0
 _REMEMBERED = 300_000
@@ -125,21 +128,22 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text_column: str = "te
     """
     results = ("n_tokens", "score", "n_unknown")
     docs = docs.drop(*(c for c in docs.columns if c.lower() in results))
-    carried = [f for f in docs.schema.fields if f.name.lower() != text_column.lower()]
+    carried = [c for c in docs.columns if c.lower() != text_column.lower()]
+    rows = docs.select(F.struct(*named(carried)).alias("doc"), named([text_column])[0].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value)
         for batch in batches:
-            rows = [counter.count(value.as_py()) for value in batch.column(text_column)]
+            counted = [counter.count(value.as_py()) for value in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in carried),
-                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()),
-                 pa.array([r[2] for r in rows], pa.int64())],
-                [*(f.name for f in carried), *results],
+                [batch.column("doc"),
+                 pa.array([r[0] for r in counted], pa.int64()), pa.array([r[1] for r in counted], pa.float64()),
+                 pa.array([r[2] for r in counted], pa.int64())],
+                ["doc", *results],
             )
 
-    return docs.mapInArrow(count, StructType([
-        *carried, StructField("n_tokens", LongType()), StructField("score", DoubleType()),
+    return rows.mapInArrow(count, StructType([
+        rows.schema["doc"], StructField("n_tokens", LongType()), StructField("score", DoubleType()),
         StructField("n_unknown", LongType()),
-    ]))
+    ])).select("doc.*", *results)

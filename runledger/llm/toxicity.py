@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from runledger.llm.common import fresh, stored
+from runledger.llm.common import fresh, named, stored
 
 SECOND_PERSON = frozenset(
     "you your yours yourself u tu te toi ton ta tes vous votre vos du dich dir dein deine "
@@ -30,7 +30,7 @@ SECOND_PERSON = frozenset(
 STEMS = range(4, 9)
 NEAR, STRETCH = 6, 40
 # A stem needs this log odds ratio and this many of its standard errors.
-LEAST_ODDS, LEAST_ERRORS, MOST_STEMS = 1.6, 3.5, 5000
+LEAST_ODDS, LEAST_ERRORS = 1.6, 3.5
 
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _UPPER = bytes(range(65, 91))
@@ -115,10 +115,10 @@ def with_features(docs: DataFrame, text: str, lexicon: dict[bytes, float], name:
     )
 
 
-def learn_lexicon(rows: DataFrame) -> dict[bytes, float]:
+def learn_lexicon(rows: DataFrame, most_stems: int) -> dict[bytes, float]:
     """Stems of ``rows(text, label)`` likelier in toxic texts, with their log odds ratio.
 
-    At most ``MOST_STEMS`` reach the driver.
+    At most ``most_stems`` reach the driver.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0.0: Counter(), 1.0: Counter()}
@@ -155,7 +155,7 @@ def learn_lexicon(rows: DataFrame) -> dict[bytes, float]:
     chosen = counted.select("stem", ratio.alias("odds"), (ratio / error).alias("errors")).where(
         (F.col("odds") >= LEAST_ODDS) & (F.col("errors") >= LEAST_ERRORS)
     )
-    return {bytes(r["stem"]): r["odds"] for r in chosen.orderBy(F.desc("errors"), "stem").limit(MOST_STEMS).collect()}
+    return {bytes(r["stem"]): r["odds"] for r in chosen.orderBy(F.desc("errors"), "stem").limit(most_stems).collect()}
 
 
 def fold_of(id_column: Column, folds: int) -> Column:
@@ -185,12 +185,13 @@ def labelled_sample(
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    most_rows: int = 30_000, trees: int = 20, depth: int = 4,
+    most_rows: int = 30_000, trees: int = 20, depth: int = 4, most_stems: int = 5000,
 ) -> DataFrame:
     """``docs`` with ``held_out, score, predicted``.
 
     Learns from at most about ``most_rows`` labelled documents, none of them held out (crc32
-    of the id modulo 5 is 0): lexicon and trees from three folds, calibration from the fourth. Without
+    of the id modulo 5 is 0): a lexicon of at most ``most_stems`` stems, the most telling ones, and trees from three folds,
+    calibration from the fourth. Without
     labels of both kinds every score is the share of toxic labels, or 0. Null and empty
     texts are scored as texts without words; a null id is held out. Repeated rows get equal
     scores. Columns with the names of results are replaced; an empty table gives no rows.
@@ -202,7 +203,7 @@ def toxicity(
     held_out = (fold_of(F.col(id_column), 5) == 0).alias("held_out")
 
     def finished(rows: DataFrame, score: Column) -> DataFrame:
-        columns = [F.col(f"`{c}`") for c in docs.columns]
+        columns = named(docs.columns)
         return rows.withColumn(values, score).select(
             *columns, held_out, F.col(values).alias("score"),
             (F.col(values) >= 0.5).cast("int").alias("predicted"),
@@ -213,7 +214,7 @@ def toxicity(
     if not {(0.0, False), (1.0, False)} <= kinds:
         share = sample.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]
         return finished(docs, F.lit(float(share)))
-    lexicon = learn_lexicon(fitting.select("text", "label"))
+    lexicon = learn_lexicon(fitting.select("text", "label"), most_stems)
     measured = stored(
         with_features(sample, "text", lexicon, "values")
         .select(array_to_vector("values").alias("features"), "label", (F.col("fold") == 4).alias("late")),
@@ -228,15 +229,16 @@ def toxicity(
     curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="level").fit(
         raw(measured.where("late" if both else "true"))
     )
-    scored = with_features(docs, text_column, lexicon, values)
-    packed = scored.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
-        array_to_vector(F.col(values)).alias("features"),
+    others = [c for c in docs.columns if c.lower() != text_column.lower()]
+    rows = docs.select(F.struct(*named(others)).alias("doc"), named([text_column])[0].alias("text"))
+    packed = with_features(rows, "text", lexicon, "values").select(
+        "doc", "text", array_to_vector("values").alias("features")
     )
     # The calibrated level has steps; a trace of the raw score keeps the order within one.
     final = (F.col("level") + F.col("raw") / 1000) / 1.001
     levelled = curve.transform(raw(packed)).withColumn("final", final)
+    columns = [(F.col("text") if c.lower() == text_column.lower() else F.col("doc")[c]).alias(c) for c in docs.columns]
     return levelled.select(
-        "doc.*", (fold_of(F.col("doc")[id_column], 5) == 0).alias("held_out"),
+        *columns, (fold_of(F.col("doc")[id_column], 5) == 0).alias("held_out"),
         F.col("final").alias("score"), (F.col("final") >= 0.5).cast("int").alias("predicted"),
     )

@@ -24,7 +24,7 @@ from runledger.llm.toxicity import FEATURES, _Weights, features, toxicity
 from runledger.llm.url_filter import Cascade, judge_urls
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, uid long, score double, `kept` string, doc string"
+SCHEMA = "doc_id long, text string, lang string, source string, uid long, score double, `kept` string, doc string, `a.b` int"
 PAGE = "page_id long, url string, html string, host string, text string"
 
 
@@ -37,7 +37,7 @@ def odd_documents(spark):
         (6, "\n\n \t\n", "en", "a"), (7, "word " * 30_000, "en", "a"), (8, f"x\n{line}\n{line}\ny", "en", "b"),
         (9, "ünïcode 漢字 \U0001F600", "fr", "c"),
     ]
-    return spark.createDataFrame([(*r, 7, 0.5, "k", "d") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, 7, 0.5, "k", "d", 3) for r in rows], SCHEMA)
 
 
 def labels(spark):
