@@ -8,15 +8,20 @@ UNKNOWN_EXIT = -1
 STOPPED_EXIT = -2
 
 
+# Closes the list that flags are read in; no flag has this name.
+_END = "\u0001end"
+
+
 def decode_flags(flags_json: Column) -> Column:
     """Stored flags as ``map<string,string>``; anything but a JSON object gives an empty map."""
     empty = F.create_map().cast("map<string,string>")
-    # The JSON reader stops after the first value. No text behind it can end both a list and an object.
-    strict = {"allowSingleQuotes": "false"}
-    listed = F.from_json(F.concat(F.lit("["), flags_json, F.lit("]")), "array<map<string,string>>", strict)
-    inside = F.from_json(F.concat(F.lit('{"x":'), flags_json, F.lit("}")), "x map<string,string>", strict)
-    whole = F.when((F.size(listed) == 1) & inside["x"].isNotNull(), F.get(listed, 0))
-    return F.coalesce(whole, empty)
+    # The JSON reader stops after the first value. Only behind one whole value does the list go on to its last element.
+    listed = F.from_json(
+        F.concat(F.lit("["), flags_json, F.lit(',{"\\u0001end":""}]')),
+        "array<map<string,string>>", {"allowSingleQuotes": "false"},
+    )
+    whole = (F.size(listed) == 2) & F.map_contains_key(F.get(listed, 1), F.lit(_END))
+    return F.coalesce(F.when(whole, F.get(listed, 0)), empty)
 
 
 def micros(moment: Column) -> Column:

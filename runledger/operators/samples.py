@@ -75,18 +75,17 @@ def parse_days(spec: Column) -> Column:
     Parts that are neither a number nor a range are left out, and so are days outside 1-366.
     """
     def number(text: Column) -> Column:
-        # Any number of digits is a number; those of more than four are beyond every day.
-        digits = F.regexp_replace(strip(text), r"\A0+(?=[0-9])", "")
-        return F.when(F.length(digits) > 4, F.lit(9999)).otherwise(digits.try_cast("int"))
+        # Any number of digits is a number; those that no whole number holds are beyond every day.
+        return F.coalesce(text.try_cast("int"), F.lit(9999))
 
     def days_of(part: Column) -> Column:
-        low, high = number(F.substring_index(part, "-", 1)), number(F.substring_index(part, "-", -1))
-        first, last = F.greatest(low, F.lit(1)), F.least(high, F.lit(366))
-        valid = part.rlike(r"\A[0-9]+(?:\s*-\s*[0-9]+)?\z") & (first <= last)
-        return F.when(valid, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        first = F.greatest(number(F.substring_index(part, "-", 1)), F.lit(1))
+        last = F.least(number(F.substring_index(part, "-", -1)), F.lit(366))
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
-    parts = F.transform(F.split(spec, ","), lambda p: days_of(strip(p)))
-    return F.sort_array(F.array_distinct(F.flatten(parts)))
+    whole = F.transform(F.split(spec, ","), strip)
+    parts = F.filter(whole, lambda p: p.rlike(r"\A[0-9]+(?:\s*-\s*[0-9]+)?\z"))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(parts, days_of))))
 
 
 def _names_both(spec: str, single: str) -> Column:
