@@ -6,7 +6,7 @@ Written for another engine on purpose and from the rules, not from the operators
 from __future__ import annotations
 
 from runledger.plans.bridge import SITES, with_views
-from runledger.plans.queries import ADMIN_ID, OPERATOR_ID, THROTTLE_SEC
+from runledger.plans.queries import ADMIN_ID, DEEP_PAGE, OPERATOR_ID, THROTTLE_SEC
 
 # Labels, log patterns and, below, the flag table of the three converters, stated
 # a second time so that the check does not depend on the registry.
@@ -180,6 +180,8 @@ _SQL: dict[str, tuple[str, str]] = {
     "history_page_own": ("job_runs users", f"{_HISTORY} WHERE r.user_id = {OPERATOR_ID} ORDER BY r.started_at DESC, r.id DESC LIMIT 25"),
     "history_after": ("job_runs users", f"""SELECT id, user_id, username, label, started_at FROM ({_HISTORY})
  WHERE (started_at, id) < (TIMESTAMP '1998-06-15 00:00:00', 500) ORDER BY started_at DESC, id DESC LIMIT 25"""),
+    "history_deep_page": ("job_runs users", f"""SELECT id, user_id, username, label, started_at FROM ({_HISTORY}
+ ORDER BY r.started_at DESC, r.id DESC LIMIT 25 OFFSET {(DEEP_PAGE - 1) * 25})"""),
     "history_totals": ("job_runs users", """SELECT user_id, total, greatest(1, (total + 24) // 25) AS total_pages FROM (
  SELECT u.id AS user_id, CASE WHEN u.role = 'admin' THEN (SELECT count(*) FROM job_runs)
  ELSE (SELECT count(*) FROM job_runs r WHERE r.user_id = u.id) END AS total FROM users u)"""),

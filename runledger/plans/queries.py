@@ -23,6 +23,7 @@ REGISTRY = default_registry()
 # Viewers whose pages are shown, and the throttle of the sparse bridge log.
 ADMIN_ID, OPERATOR_ID = 0, 1
 THROTTLE_SEC = 6 * 3600.0
+DEEP_PAGE = 40
 
 
 def _rounded(name: str) -> Column:
@@ -54,6 +55,14 @@ def history_after(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "user_id", "username", "label", "started_at")
 
 
+def history_deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page far back in the history; the first block of runs that hold it is found by counts."""
+    rows = history.history_deep_page(
+        view("job_runs", spark, sf), view("users", spark, sf), REGISTRY, ADMIN_ID, True, DEEP_PAGE, near=100
+    )
+    return rows.select("id", "user_id", "username", "label", "started_at")
+
+
 def history_totals(spark: SparkSession, sf: str) -> DataFrame:
     return history.history_totals(view("job_runs", spark, sf), view("users", spark, sf))
 
@@ -402,6 +411,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_page": _history(ADMIN_ID, True, 2),
     "history_page_own": _history(OPERATOR_ID, False, 1),
     "history_after": history_after,
+    "history_deep_page": history_deep_page,
     "history_totals": history_totals,
     "run_visibility": run_visibility,
     "run_access": run_access,
