@@ -5,8 +5,8 @@ earlier lines of a run (throttle, best progress, idle time) is kept as three num
 run in the state store, which must be RocksDB (``session.STATE_STORE``).
 
 A micro-batch brings the new lines of a run to one task, so bound it at the source
-(``maxFilesPerTrigger`` or the like); lines that cannot cause an event any more are
-dropped or stripped of their text first.
+(``maxFilesPerTrigger`` or the like), or use ``batches.follow_batches``, which spreads them. Lines that
+are not shown lose their text first.
 """
 
 from __future__ import annotations
