@@ -209,6 +209,7 @@ FROM access_requests a LEFT JOIN users u ON u.id = a.viewer_id AND u.is_active L
  CAST(CASE WHEN exit_code = -1 AND id % 2 = 0 THEN -1 WHEN exit_code = -2 THEN -2 ELSE code END AS INTEGER) AS exit_code
  FROM (SELECT *, CASE WHEN id % 5 = 0 THEN -1 ELSE exit_code END AS code FROM job_runs WHERE finished_at IS NOT NULL)"""),
     "run_state": ("job_runs", _state("changed_at DESC, pri DESC")),
+    "run_state_incremental": ("job_runs", _state("changed_at DESC, pri DESC")),
     "run_state_first_terminal": ("job_runs", _state("(status = 'running'), changed_at, pri")),
     "recent_per_user": ("job_runs", _recent("user_id", 5)),
     "recent_per_user_converter": ("job_runs", _recent("user_id, converter", 3)),

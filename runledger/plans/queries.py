@@ -12,6 +12,7 @@ from runledger.functions.runs import UNKNOWN_EXIT, micros
 from runledger.operators import (
     commands, convert, history, inventory, logs, requests, samples, throttle,
 )
+from runledger.operators.state import Snapshots
 from runledger.plans.bridge import SITES, stream, view
 from runledger.session import scratch_path, ship_package, use_utc
 from runledger.sources import archive, dat, tables
@@ -158,6 +159,18 @@ def _run_state(policy: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def run_state_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """State of all runs from a snapshot and the writes since: those that end runs arrive later, in two parts."""
+    writes = state_writes(view("job_runs", spark, sf))
+    path = scratch_path(spark, "writes")
+    snapshots = Snapshots(scratch_path(spark, "snapshots"), path, buckets=8)
+    started = F.col("status") == "running"
+    for part in (started, ~started & (F.col("run_id") % 2 == 0), ~started & (F.col("run_id") % 2 != 0)):
+        tables.append_state(writes.where(part), path)
+        snapshots.refresh(spark)
+    return snapshots.state(spark).withColumn("finished_at", F.col("finished_at").cast("timestamp_ntz"))
+
+
 def recent_per_user(spark: SparkSession, sf: str) -> DataFrame:
     rows = history.recent_per_user(view("job_runs", spark, sf))
     return rows.select("user_id", F.col("rank").cast("bigint").alias("rank"), "id")
@@ -423,6 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_outcome": run_outcome,
     "run_state": _run_state("last_writer"),
     "run_state_first_terminal": _run_state("first_terminal"),
+    "run_state_incremental": run_state_incremental,
     "recent_per_user": recent_per_user,
     "recent_per_user_converter": recent_per_user_converter,
     "log_tail": _tail(5),
