@@ -1,6 +1,7 @@
 """Main text of web pages by composite text density.
 
-Elements that never hold main text go first. Every node left gets a density: characters
+Elements that never hold main text go first, then those named like page furniture; a name that only speaks of a layout
+counts for nothing where most of the page's text stands below it. Every node left gets a density: characters
 per tag, reduced where characters stand in links. The thinnest node on the path from the body to the node whose
 children's densities have the largest sum gives the threshold. Below the body, every branch that is as dense as
 that gives its subtree of the largest sum, in page order, with the headings before it. No tag counts as the article by its name.
@@ -46,16 +47,40 @@ FURNITURE = frozenset(
     "recommended recommendations widget widgets pagination pager skip toolbar tags login search outbrain taboola".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+# A name that says that an element has or lacks furniture, or whether some is shown, is no furniture.
+STATES_BEFORE = frozenset("has no not with without".split())
+STATES_AFTER = frozenset("open closed enabled disabled".split())
+# Furniture names that layouts use for other things too, and what then stands beside them in one name.
+LAYOUT = frozenset("widget widgets sidebar sidebars rail".split())
+CONTENT = frozenset(
+    "article body container content editor entry grid heading layout main page post story text title wrap wrapper".split()
+)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "items", "parent", "dropped")
+    __slots__ = ("tag", "items", "parent", "dropped", "layout")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.items: list[Node | str] = []
+        # Furniture by name, unless most of the text says otherwise: these names.
+        self.layout: frozenset[str] = frozenset()
+
+
+def _names_of(value: str) -> tuple[set[str], bool]:
+    """Furniture words of a class or id, and whether one that layouts use stands beside a word for content."""
+    found, layout = set(), False
+    for name in _CAMEL.sub(r"\1 \2", value).lower().split():
+        parts = _NAME.findall(name)
+        if parts and parts[-1] in STATES_AFTER:
+            continue
+        state = next((k for k, part in enumerate(parts) if part in STATES_BEFORE), len(parts))
+        words = FURNITURE.intersection(parts[:state])
+        found |= words
+        layout |= not (LAYOUT.isdisjoint(words) or CONTENT.isdisjoint(parts))
+    return found, layout
 
 
 def _is_furniture(tag: str, attrs: list[tuple[str, str | None]], parent: Node) -> bool:
@@ -70,7 +95,8 @@ def _is_furniture(tag: str, attrs: list[tuple[str, str | None]], parent: Node) -
         return False
     for name, value in attrs:
         if name in ("class", "id") and value:
-            if not FURNITURE.isdisjoint(_NAME.findall(_CAMEL.sub(r"\1 \2", value).lower())):
+            names, layout = _names_of(value)
+            if names and not (layout and names <= LAYOUT):
                 return True
         elif name == "role" and value and value.strip().lower() in ROLES:
             return True
@@ -81,6 +107,12 @@ def _is_furniture(tag: str, attrs: list[tuple[str, str | None]], parent: Node) -
     return False
 
 
+def _layout_names(tag: str, attrs: list[tuple[str, str | None]]) -> frozenset[str]:
+    if tag in ("html", "body", "article", "main"):
+        return frozenset()
+    return frozenset().union(*(_names_of(value)[0] for name, value in attrs if name in ("class", "id") and value))
+
+
 class _Tree(HTMLParser):
     """Builds nodes from tag soup: implied ends are closed, stray end tags ignored."""
 
@@ -88,6 +120,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
         self.body: Node | None = None
+        self.has_layout = False
 
     def _close(self, tags: set[str] | frozenset[str], barriers: set[str] | frozenset[str]) -> None:
         node = self.at
@@ -109,6 +142,9 @@ class _Tree(HTMLParser):
         if tag == "body":
             self.at = self.root
         node = Node(tag, self.at, self.at.dropped or _is_furniture(tag, attrs, self.at))
+        if attrs and not node.dropped:
+            node.layout = _layout_names(tag, attrs)
+            self.has_layout = self.has_layout or bool(node.layout)
         self.at.items.append(node)
         if tag == "body":
             self.body = node
@@ -136,8 +172,8 @@ class _Tree(HTMLParser):
             self.at.items.append(data)
 
 
-def densities(body: Node) -> dict[Node, tuple[float, float]]:
-    """Composite density and the sum of the children's densities, for every kept node."""
+def weights(body: Node) -> dict[Node, list[int]]:
+    """Characters, tags, characters in links and links below every kept node, parents before children."""
     order, todo = [], [(body, False)]
     while todo:
         node, linked = todo.pop()
@@ -155,7 +191,43 @@ def densities(body: Node) -> dict[Node, tuple[float, float]]:
                 sums[1] += 1
                 sums[3] += x.tag == "a"
         totals[node] = sums
-    all_chars, _, all_linked, _ = totals[body]
+    return {node: totals[node] for node, _ in order}
+
+
+def drop_layout(body: Node) -> None:
+    """Drops nodes named like furniture of a layout, but not those that hold a page's text.
+
+    Where the nodes without such a name hold less than a quarter of the text of the body, those of the names that most of
+    the text has, more than half of all, stay if at most a third of theirs stands in links. What is below them is
+    judged in the same way.
+    """
+    totals = weights(body)
+    scopes = [body]
+    while scopes:
+        scope = scopes.pop()
+        outermost, todo = [], [scope]
+        while todo:
+            for x in todo.pop().items:
+                if isinstance(x, Node) and not x.dropped:
+                    (outermost if x.layout else todo).append(x)
+        if not outermost:
+            continue
+        total = totals[scope][0]
+        plain: dict[frozenset[str], int] = {}
+        for x in outermost:
+            plain[x.layout] = plain.get(x.layout, 0) + totals[x][0] - totals[x][2]
+        names = max(plain, key=plain.__getitem__)
+        telling = 4 * (total - sum(totals[x][0] for x in outermost)) >= total or 2 * plain[names] <= total
+        for x in outermost:
+            if telling or x.layout != names or 3 * totals[x][2] > totals[x][0]:
+                x.dropped = True
+            else:
+                scopes.append(x)
+
+
+def densities(totals: dict[Node, list[int]]) -> dict[Node, tuple[float, float]]:
+    """Composite density and the sum of the children's densities, for every node of ``weights``."""
+    all_chars, _, all_linked, _ = next(iter(totals.values()))
     share = all_linked / all_chars if all_chars else 0.0
 
     def density(node: Node) -> float:
@@ -166,10 +238,10 @@ def densities(body: Node) -> dict[Node, tuple[float, float]]:
         ratio = chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)
         return chars / max(1, tags) * max(0.0, math.log(max(ratio, 1e-9)) / max(base, 1e-9))
 
-    own = {node: density(node) for node, _ in order}
+    own = {node: density(node) for node in totals}
     return {
         node: (own[node], sum(own[x] for x in node.items if isinstance(x, Node) and not x.dropped))
-        for node, _ in order
+        for node in totals
     }
 
 
@@ -179,9 +251,12 @@ def articles(body: Node) -> list[Node | str]:
     Down from the body, each node at least as dense as the threshold of the body's path gives the node of the
     largest sum in its subtree; nodes below one that is not are not looked at. Headings are too short for the
     threshold: those that stand right before such a subtree, or a node that holds one, come with it. A part of a
-    text, like a paragraph, stands for the block around it, or in the body for the paragraphs beside it.
+    text, like a paragraph, stands for the block around it, or in the body for the paragraphs beside it. Below the body
+    what stands between kept nodes of one container, or between its heading and the first of them, comes with
+    them, and so do later nodes of the same tag; if at most a third of it stands in links.
     """
-    found = densities(body)
+    totals = weights(body)
+    found = densities(totals)
     if len(found) == 1:
         return [body]
     # Parents come before their children in ``found``; of equal sums the outer and then the first one counts.
@@ -220,17 +295,29 @@ def articles(body: Node) -> list[Node | str]:
             out.append(x)
             continue
         kept, following = [], False
+        places = [k for k, item in enumerate(x.items) if isinstance(item, Node) and item in holding]
+        # What surrounds kept nodes: from the first heading before them, and of their tags behind them.
+        first = last = len(x.items)
+        if places and x is not body:
+            heads = (k for k, item in enumerate(x.items) if isinstance(item, Node) and not item.dropped and item.tag in HEADS | {"hgroup", "header"})
+            first, last = min(next(heads, places[0]), places[0]), places[-1]
+        tags = {x.items[k].tag for k in places}
+
+        def beside(k: int, item: Node) -> bool:
+            chars, _, linked, _ = totals[item]
+            return first <= k and (k < last or item.tag in tags) and chars > 0 and 3 * linked <= chars
+
         paragraphs = any(isinstance(item, Node) and item in chosen and item.tag in PARTS for item in x.items)
-        for item in reversed(x.items):
+        for k, item in reversed(list(enumerate(x.items))):
             if isinstance(item, str):
                 # Text between elements counts as one tag without links.
-                if len("".join(item.split())) >= threshold:
+                if len("".join(item.split())) >= threshold or first <= k < last:
                     kept.append(item)
             elif not item.dropped and item.tag in HEADS | {"hgroup", "header"}:
-                if following or item in holding:
+                if following or item in holding or beside(k, item):
                     kept.append(item)
             elif not item.dropped:
-                following = item in holding or (paragraphs and item.tag in ("p", "blockquote", "pre"))
+                following = item in holding or beside(k, item) or (paragraphs and item.tag in ("p", "blockquote", "pre"))
                 if following:
                     kept.append(item)
         walk += kept
@@ -273,7 +360,10 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    return "\n".join(blocks(articles(tree.body or tree.root)))
+    body = tree.body or tree.root
+    if tree.has_layout:
+        drop_layout(body)
+    return "\n".join(blocks(articles(body)))
 
 
 def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:

@@ -225,6 +225,36 @@ def test_main_text_of_pages_without_article_and_of_split_bodies():
     assert main_text("<body>Some words <b>in bold</b> here</body>") == "Some words in bold here"
 
 
+def test_names_of_layouts_drop_no_article_text():
+    text = "".join(f"<p>{'word ' * 60}{k}</p>" for k in range(6))
+    links = "<div class=x><a href=1>one</a> <a href=2>two</a></div>"
+    words = [f"{'word ' * 60}{k}".strip() for k in range(6)]
+    for name in ("content has-sidebar", "elementor-widget-text-editor", "hentry comments-open", "article-body no-ads"):
+        assert main_text(f"<body>{links}<div class='{name}'>{text}</div>{links}</body>").split("\n") == words
+    assert main_text(f"<body><article><h1>T</h1><div class='article-body no-ads'>{text}</div></article></body>").split("\n") == ["T", *words]
+    noticed = f"<body><article>{text}<div class='section-with-notice'>{text}</div></article></body>"
+    assert main_text(noticed).split("\n") == words * 2
+    # Parts of a page builder hold the text together; what is named otherwise, or links, still goes.
+    parts = "".join(f"<div class='elementor-widget-text-editor'>{text}</div>" for _ in range(3))
+    built = f"<body>{parts}<div class='widget-text'><a href=1>{'link ' * 99}</a></div><div class='sidebar-text'>About us.</div></body>"
+    assert main_text(built).split("\n") == words * 3
+    # Beside an article the same names are furniture.
+    beside = f"<body><article>{text}</article><div class='sidebar-content'>{text}</div><div class='widget widget_text'>{text}</div></body>"
+    assert main_text(beside).split("\n") == words
+
+
+def test_short_blocks_beside_kept_ones_stay():
+    text = "".join(f"<p>{'word ' * 60}{k}</p>" for k in range(6))
+    links = "<div><a href=1>one</a> <a href=2>two</a></div>"
+    page = (
+        f"<body>{links}<div><h1>Title</h1><p>By me</p><div>A standfirst</div><section>{text}</section><div>Between</div>{links}"
+        f"<section>{text}</section><section><p>One sentence.</p></section><div>Not of the text</div></div>{links}</body>"
+    )
+    got = main_text(page).split("\n")
+    assert got[:3] == ["Title", "By me", "A standfirst"] and got[9] == "Between" and got[-1] == "One sentence."
+    assert len(got) == 17
+
+
 def test_seating_keeps_customers():
     customers = np.array([1, 2, 3, 50, 1000])
     seats = Seating(customers, np.full(5, 0.7), 0.6, np.random.default_rng(0))
