@@ -3,7 +3,8 @@
 Each measure of a text, scaled to a whole number, falls into a bucket a thirty-second of its
 size wide. Counts per bucket are a quantile sketch: sketches of parts add up, in any
 order, to that of the whole. A group's fence is its third quartile (or first) plus (less) a
-number of interquartile ranges. Groups of few texts take the sketch of their language, or of all texts.
+number of interquartile ranges. A language's sketch is blended with that of all texts, scaled to a fixed number of
+texts, and a group's with its language's in the same way: the fewer texts a group has, the more its language counts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ COUNTS = (
 )
 _DETAIL = 32
 SCALE = 1_000_000
+# Parts of a text that blended sketches count in; whole numbers add up alike in any order.
+_PARTS = 10_000
 
 # Measure: counted, per what, whether low values are odd too, and the least spread that counts.
 MEASURES: dict[str, tuple[str, str, bool, float]] = {
@@ -116,11 +119,10 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, measure, total, q1, q3`` of the sum of sketches per ``keys``."""
+    """``keys, measure, q1, q3`` of sketches per ``keys``."""
     group = [*keys, "measure"]
-    merged = sketch.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
     rising = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    reached = merged.withColumn("upto", F.sum("n").over(rising)).withColumn(
+    reached = sketch.withColumn("upto", F.sum("n").over(rising)).withColumn(
         "total", F.sum("n").over(Window.partitionBy(*group))
     )
 
@@ -128,32 +130,40 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
         return F.min(F.when(4 * F.col("upto") >= part * F.col("total"), F.col("bucket")))
 
     return reached.groupBy(*group).agg(
-        F.first("total").alias("total"), bucket_value(quantile(1)).alias("q1"),
-        bucket_value(quantile(3)).alias("q3"),
+        bucket_value(quantile(1)).alias("q1"), bucket_value(quantile(3)).alias("q3"),
     )
 
 
-def fences(sketch: DataFrame, ranges: float, least_rows: int) -> DataFrame:
-    """``lang, source, <measure>_low, <measure>_high``: one row for each group."""
-    levels = [
-        quartiles(sketch, keys).select(
-            *(F.col(k).alias(f"{k}_{n}") for k in keys), F.col("measure").alias(f"measure_{n}"),
-            F.struct("total", "q1", "q3").alias(f"level_{n}"),
-        )
-        for n, keys in enumerate((["lang", "source"], ["lang"], []))
-    ]
-    joined = levels[0].withColumnsRenamed({"lang_0": "lang", "source_0": "source", "measure_0": "measure"})
-    joined = joined.join(levels[1], F.expr("lang <=> lang_1 AND measure = measure_1"), "left").join(
-        levels[2], F.expr("measure = measure_2"), "left"
+def _with_prior(sketch: DataFrame, prior: DataFrame, keys: list[str], shared: list[str], prior_rows: int) -> DataFrame:
+    """``sketch`` (``keys, measure, bucket, n``) plus ``prior`` (``shared, measure, bucket, n``) scaled to ``prior_rows`` texts."""
+    whole = prior.groupBy(*shared, "measure").agg(F.sum("n").alias("total"))
+    renamed = whole.select(*(F.col(k).alias(f"of_{k}") for k in [*shared, "measure"]), "total")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in [*shared, "measure"]))
+    share = prior.join(renamed, same).select(
+        *(F.col(k).alias(f"of_{k}") for k in shared), F.col("measure").alias("of_measure"), "bucket",
+        F.expr(f"CAST(CAST(n AS DECIMAL(38, 0)) * {prior_rows * _PARTS}L div total AS bigint)").alias("n"),
     )
-    enough = [F.when(F.col(f"level_{n}.total") >= least_rows, F.col(f"level_{n}")) for n in (0, 1)]
-    chosen = joined.withColumn("level", F.coalesce(*enough, F.col("level_2")))
+    # One row per group and measure: groups are languages and sources, few next to the texts.
+    groups = sketch.select(*keys, "measure").distinct()
+    added = groups.join(share, same).select(*keys, "measure", "bucket", "n")
+    return sketch.unionByName(added).groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fences(sketch: DataFrame, ranges: float, prior_rows: int) -> DataFrame:
+    """``lang, source, <measure>_low, <measure>_high``: one row for each group."""
+    def summed(keys: list[str]) -> DataFrame:
+        return sketch.groupBy(*keys, "measure", "bucket").agg((F.sum("n") * _PARTS).alias("n"))
+
+    of_lang = _with_prior(summed(["lang"]), summed([]), ["lang"], [], prior_rows)
+    of_group = _with_prior(summed(["lang", "source"]), of_lang, ["lang", "source"], ["lang"], prior_rows)
     spread = reduce(
         lambda rest, k: F.when(F.col("measure") == k, F.lit(MEASURES[k][3])).otherwise(rest),
         MEASURES, F.lit(0.0),
     )
-    width = ranges * F.greatest(F.col("level.q3") - F.col("level.q1"), spread)
-    bounds = chosen.withColumns({"low": F.col("level.q1") - width, "high": F.col("level.q3") + width})
+    width = ranges * F.greatest(F.col("q3") - F.col("q1"), spread)
+    bounds = quartiles(of_group, ["lang", "source"]).withColumns(
+        {"low": F.col("q1") - width, "high": F.col("q3") + width}
+    )
     return bounds.groupBy("lang", "source").agg(*(
         F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{k}_{side}")
         for k in MEASURES for side in ("low", "high")
@@ -162,13 +172,15 @@ def fences(sketch: DataFrame, ranges: float, least_rows: int) -> DataFrame:
 
 def judge_quality(
     docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
-    source_column: str = "source", ranges: float = 5.0, least_rows: int = 200, keep_text: bool = True,
+    source_column: str = "source", ranges: float = 5.0, prior_rows: int = 100, keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` with ``COUNTS``, ``base_failed`` and ``kept``.
 
     ``base_failed``: fewer than 20 words, or more than 30 % of them in eight-word windows found twice. Else
-    a text is kept if each measure lies within the fences of its language and source. Groups of fewer than ``least_rows``
-    texts use those of their language, or of all. Null languages and sources are groups of their own; null and
+    a text is kept if each measure lies within the fences of its language and source: quartiles and ``ranges``
+    interquartile ranges beyond them, a range being at least the spread given in ``MEASURES``, so that texts
+    that are nearly alike are no outliers. Each group's texts are judged together with ``prior_rows`` texts' worth of its language's
+    sketch, which holds as much of all texts'; no size switches from one to the other. Null languages and sources are groups of their own; null and
     empty texts have no words and fail. Repeated rows are judged alike. Columns with the names of results are
     replaced; an empty table gives no rows.
     """
@@ -180,7 +192,7 @@ def judge_quality(
         F.col(lang_column).alias("lang"), F.col(source_column).alias("source"),
     )
     rows = stored(measured(packed, "text").drop("text"), "quality-counts")
-    bounds = fences(sketches(rows), ranges, least_rows).withColumnsRenamed(
+    bounds = fences(sketches(rows), ranges, prior_rows).withColumnsRenamed(
         {"lang": "of_lang", "source": "of_source"}
     )
     failed = F.expr(f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words")

@@ -17,7 +17,7 @@ from runledger.llm.html_text import extract_text, main_text
 from runledger.llm.line_dedup import dedup_lines
 from runledger.llm.mixing import mix
 from runledger.llm.pitman_yor import Seating, score_texts
-from runledger.llm.quality import judge_quality
+from runledger.llm.quality import MEASURES, judge_quality
 from runledger.llm.queries import oracle_sql, queries
 from runledger.llm.token_counts import MARK, Counter as TokenCounter, Vocabulary, count_tokens
 from runledger.llm.toxicity import FEATURES, _Weights, features, toxicity
@@ -190,6 +190,63 @@ def test_quality_counts_by_brute_force(spark):
         assert r.base_failed == (len(w) < 20 or 100 * len(repeated) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
+def quartile_fences(rows, lang, source, value, spread, low_too, ranges=5.0, prior=100):
+    """Fences by brute force: every text's bucket with a weight, the group's own and those of its language and of all."""
+    def middle(v):
+        bits = max(0, len(bin(v)) - 2 - 6)
+        return ((v >> bits) * 2**bits + (2**bits - 1) / 2) / 1e6, (v >> bits) << bits
+
+    def weighted(chosen):
+        found = Counter(middle(value(r)) for r in chosen)
+        return {k: 10_000 * n for k, n in found.items()}
+
+    def blended(own, base):
+        total = sum(base.values())
+        return Counter(own) + Counter({k: prior * 10_000 * n // total for k, n in base.items()})
+
+    of_lang = blended(weighted([r for r in rows if r.lang == lang]), weighted(rows))
+    of_group = blended(weighted([r for r in rows if r.lang == lang and r.source == source]), of_lang)
+    total, upto, quarters = sum(of_group.values()), 0, {}
+    for place, n in sorted(of_group.items(), key=lambda x: x[0][1]):
+        upto += n
+        for part in (1, 3):
+            if part not in quarters and 4 * upto >= part * total:
+                quarters[part] = place[0]
+    width = ranges * max(quarters[3] - quarters[1], spread)
+    return (quarters[1] - width if low_too else -1), quarters[3] + width
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    rows = judge_quality(docs).collect()
+    fences = {}
+
+    def scaled(part, whole):
+        return lambda r: r[part] * 1_000_000 // r[whole] if r[whole] else 0
+
+    for r in rows:
+        inside = True
+        for part, whole, low_too, spread in MEASURES.values():
+            key = (r.lang, r.source, part, whole)
+            if key not in fences:
+                fences[key] = quartile_fences(rows, r.lang, r.source, scaled(part, whole), spread, low_too)
+            low, high = fences[key]
+            inside = inside and low <= scaled(part, whole)(r) / 1e6 <= high
+        assert r.kept == (inside and not r.base_failed), r
+    assert {r.kept for r in rows if not r.base_failed} == {True, False}
+
+
+def test_one_more_text_changes_no_verdict_by_a_jump(spark):
+    """A source of loud texts among quiet ones: its texts are judged alike with 199 and with 200 of them."""
+    def kept(n):
+        quiet = [(k, " ".join(f"w{k + j}" for j in range(40)), "en", "quiet") for k in range(2000)]
+        loud = [(10_000 + k, " ".join(f"v{k + j}!" if j < 4 + k % 24 else f"v{k + j}" for j in range(40)), "en", "loud") for k in range(n)]
+        docs = spark.createDataFrame(quiet + loud, "doc_id long, text string, lang string, source string")
+        return {r.doc_id for r in judge_quality(docs).where("source = 'loud' AND kept").select("doc_id").collect()}
+
+    assert len(kept(199) ^ kept(200)) <= 1
+
+
 def test_main_text():
     page = (
         "<html><body><nav><a href=x>menu</a></nav><div class='cookie-notice'>We use cookies</div><article><header><h1>Title</h1>"
