@@ -3,7 +3,8 @@
 Level 1 holds the listed keys. Level 2 holds the corpus's other keys that level 1 lets through by
 mistake, level 3 the listed keys that level 2 then lets through, and so on until no mistake is left.
 The first level that does not hold a key decides: an even one says listed, an odd one not. The
-levels are scalar values of the plan, so judging a url joins nothing.
+levels are scalar values of the plan, so judging a url joins nothing. Levels too large for that stay tables of 64-bit
+words, and keys are brought to the words they probe.
 
 Only DataFrame functions are used.
 """
@@ -74,14 +75,18 @@ def _probes(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(n)), F.lit(bits)) for n in range(hashes)]
 
 
-def _level(keys: DataFrame, level: int, bits: int, hashes: int) -> DataFrame:
-    """One row: the filter's bits as an array of longs."""
-    held = (
+def _words(keys: DataFrame, level: int, bits: int, hashes: int) -> DataFrame:
+    """``word, bits``: the filter's longs that are not 0."""
+    return (
         keys.select(F.explode(F.array(*_probes(F.col("key"), level, bits, hashes))).alias("bit"))
         .groupBy(F.shiftright("bit", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
     )
-    words = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "word")
+
+
+def _level(held: DataFrame, bits: int) -> DataFrame:
+    """One row: the filter's bits as an array of longs."""
+    words = held.sparkSession.range(bits // 64).withColumnRenamed("id", "word")
     row = words.join(held, "word", "left").agg(
         F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("all")
     )
@@ -96,12 +101,22 @@ def _holds(key: Column, filled: Column, level: int, bits: int, hashes: int) -> C
     return reduce(lambda a, b: a & b, tests)
 
 
+def _held(keys: DataFrame, words: DataFrame, level: int, bits: int, hashes: int) -> DataFrame:
+    """The ``key`` values of ``keys`` that a filter holds; each is sent to the words that it probes."""
+    probes = keys.select("key", F.explode(F.array(*_probes(F.col("key"), level, bits, hashes))).alias("bit"))
+    found = probes.withColumn("word", F.shiftright("bit", 6)).join(words, "word", "left")
+    is_set = F.coalesce(F.getbit("bits", F.expr("int(bit & 63)")) == 1, F.lit(False))
+    return found.groupBy("key").agg(F.bool_and(is_set).alias("held")).where("held").select("key")
+
+
 class Cascade:
     """Filters that tell the listed keys of a universe from its others without a mistake."""
 
     def __init__(self, universe: DataFrame, most_bytes: int = 64 << 20):
-        """``universe(key, listed)``; a level beyond ``most_bytes`` raises."""
+        """``universe(key, listed)``. Levels of up to ``most_bytes`` are values of a plan, larger ones tables."""
         self.levels: list[tuple[DataFrame, int, int]] = []
+        # Numbers of the levels that are tables.
+        self.large: set[int] = set()
         keys = stored(universe.where("key IS NOT NULL").groupBy("key").agg(F.max("listed").alias("listed")), "keys")
         wrong, others = keys.where("listed"), keys.where("NOT listed")
         n_wrong, n_others = wrong.count(), others.count()
@@ -110,19 +125,37 @@ class Cascade:
             rate = 0.5 if self.levels else min(0.5, n_wrong * math.sqrt(0.5) / max(1, n_others))
             hashes = max(1, round(-math.log2(rate)))
             bits = 64 * math.ceil(max(64, n_wrong * hashes / _HALF) / 64)
-            if bits // 8 > most_bytes:
-                raise ValueError(f"a filter of {bits // 8} bytes is larger than {most_bytes}")
             number = len(self.levels)
-            filled = _level(wrong, number, bits, hashes)
-            self.levels.append((filled, bits, hashes))
-            through = stored(
-                others.where(_holds(F.col("key"), filled.scalar(), number, bits, hashes)), "passed-keys"
-            )
+            words = _words(wrong, number, bits, hashes)
+            if bits // 8 <= most_bytes:
+                self.levels.append((_level(words, bits), bits, hashes))
+            else:
+                self.levels.append((stored(words, "filter-words"), bits, hashes))
+                self.large.add(number)
+            through = stored(self._let_through(others, number), "passed-keys")
             wrong, others = through, wrong
             n_wrong, n_others = through.count(), n_wrong
 
+    def _let_through(self, keys: DataFrame, number: int) -> DataFrame:
+        filled, bits, hashes = self.levels[number]
+        if number in self.large:
+            return _held(keys, filled, number, bits, hashes)
+        return keys.where(_holds(F.col("key"), filled.scalar(), number, bits, hashes)).select("key")
+
+    def listed(self, keys: DataFrame) -> DataFrame:
+        """The listed ones among distinct keys of the universe, ``key``, with levels of any size."""
+        left, found = keys.where("key IS NOT NULL").select("key"), keys.select("key").limit(0)
+        for number in range(len(self.levels)):
+            held = stored(self._let_through(left, number), "held-keys")
+            if number % 2:
+                found = found.unionByName(left.join(held, "key", "left_anti"))
+            left = held
+        return found.unionByName(left) if len(self.levels) % 2 else found
+
     def filters(self) -> Column:
-        """The levels as one value, for ``has``."""
+        """The levels as one value, for ``has``; only where none is a table."""
+        if self.large:
+            raise ValueError("levels that are tables are no value: ask listed()")
         return F.struct(*(row.scalar().alias(f"level_{n}") for n, (row, _, _) in enumerate(self.levels)), F.lit(0).alias("none"))
 
     def has(self, key: Column, filters: Column) -> Column:
@@ -144,15 +177,32 @@ def listed_domains(hosts: DataFrame, words: tuple[str, ...]) -> DataFrame:
     )
 
 
+def _judged_by_tables(
+    pages: DataFrame, cascade: Cascade, hosts: DataFrame, host: Column, path: Column, rule: Column, verdict: Column
+) -> DataFrame:
+    of_host = stored(hosts.distinct().select("host", F.explode(domains(F.col("host"))).alias("key")), "host-domains")
+    listed = cascade.listed(of_host.select("key").distinct())
+    on_list, found = fresh(pages, "host_on_list", "url_blocked")
+    bad = of_host.join(listed, "key", "left_semi").select(F.col("host").alias(on_list)).distinct()
+    judged = pages.withColumns({"host": host, "path": path}).join(
+        bad.withColumn(found, F.lit(True)), F.col("host") == F.col(on_list), "left"
+    )
+    return judged.withColumns({
+        "rule": rule,
+        "verdict": F.coalesce(verdict, F.when(F.col(found), F.lit("block")).otherwise(F.lit("allow"))),
+    }).drop(on_list, found)
+
+
 def judge_urls(
     pages: DataFrame, url_column: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES,
-    listed: DataFrame | None = None, words: tuple[str, ...] = LISTED_WORDS,
+    listed: DataFrame | None = None, words: tuple[str, ...] = LISTED_WORDS, most_bytes: int = 64 << 20,
 ) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``.
 
     The longest rule that fits decides; else a url is blocked if its host or a parent domain is
     listed. ``listed(key)`` gives the list; without it the corpus's domains whose first label has one of ``words``
-    are listed. Null urls and urls without ``://`` have an empty host and path and are allowed. Keys listed but
+    are listed. A list of any length is exact: where a level of the cascade is larger than ``most_bytes``, distinct
+    hosts are judged by its tables and joined to the pages; the result is the same. Null urls and urls without ``://`` have an empty host and path and are allowed. Keys listed but
     absent from the corpus change nothing. Repeated rows are judged alike. Columns with the names of results are
     replaced; an empty table gives no rows.
     """
@@ -166,9 +216,11 @@ def judge_urls(
         universe = universe.drop("listed").join(marked.withColumn("on", F.lit(True)), "key", "left").select(
             "key", F.coalesce("on", F.lit(False)).alias("listed")
         )
-    cascade = Cascade(universe)
+    cascade = Cascade(universe, most_bytes)
     host, path = host_of(url), path_of(url)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    if cascade.large:
+        return _judged_by_tables(pages, cascade, hosts, host, path, rule, verdict)
     (filters,) = fresh(pages, "url_filters")
     blocked = F.exists(domains(F.col("host")), lambda key: cascade.has(key, F.col(filters)))
     judged = pages.withColumns({"host": host, "path": path, filters: cascade.filters()})

@@ -163,6 +163,24 @@ def test_cascade_is_exact(spark):
     assert wrong.count() == 0 and len(cascade.levels) > 1
 
 
+def test_a_list_longer_than_a_plan_holds_is_exact(spark):
+    """Some levels or all of them are tables; verdicts are those of levels that are values."""
+    keys = spark.range(3000).selectExpr("concat('k', id) AS key", "id % 7 = 0 AS listed")
+    for most in (0, 200):
+        cascade = Cascade(keys, most)
+        assert cascade.large and (most == 0) == (len(cascade.large) == len(cascade.levels))
+        found = cascade.listed(keys.select("key"))
+        assert sorted(r.key for r in found.collect()) == sorted(r.key for r in keys.where("listed").collect())
+        with pytest.raises(ValueError):
+            cascade.filters()
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").withColumn("host_on_list", F.lit(1))
+    pages = pages.unionByName(spark.createDataFrame([(-1, None, 1), (-2, "no scheme", 1)], pages.schema))
+    pages = pages.unionByName(pages.limit(5))
+    expected = sorted(map(tuple, judge_urls(pages).collect()), key=str)
+    assert sorted(map(tuple, judge_urls(pages, most_bytes=0).collect()), key=str) == expected
+    assert {row[-1] for row in expected} == {"allow", "block"}
+
+
 def test_tokens_match_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     pieces = [(MARK, -2.0), (MARK + "a", -3.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -2.0), ("aba", -3.0), ("bab", -2.5)]
