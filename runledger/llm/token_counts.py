@@ -25,7 +25,8 @@ from runledger.llm.common import named
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
-_REMEMBERED = 300_000
+# Parts a worker remembers the count of before it starts afresh, and the longest that it remembers.
+_REMEMBERED, _LONG = 300_000, 200
 
 
 @dataclass(frozen=True)
@@ -67,9 +68,10 @@ class Counter:
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in vocabulary.pieces)
         # Line ends part a text only if no piece holds one.
         ends = "".join(c for c in "\n\r\t" if c not in letters)
-        self.parts = (lambda text: [text]) if crossing else re.compile(
-            f"[{ends}]|{MARK}*[^{MARK}{ends}]+|{MARK}+" if ends else f"{MARK}*[^{MARK}]+|{MARK}+"
-        ).findall
+        part = re.compile(f"[{ends}]|{MARK}*[^{MARK}{ends}]+|{MARK}+" if ends else f"{MARK}*[^{MARK}]+|{MARK}+")
+        # One part at a time: a very long text has very many.
+        self.parts = (lambda text: [text]) if crossing else (lambda text: map(re.Match.group, part.finditer(text)))
+        self.longest = max((len(p) for p, _ in vocabulary.pieces), default=1)
         self.known: dict[str, tuple[int, float, int]] = {}
 
     def count(self, text: str | None) -> tuple[int, float, int]:
@@ -82,7 +84,9 @@ class Counter:
             if solved is None:
                 if len(self.known) >= _REMEMBERED:
                     self.known.clear()
-                solved = self.known[part] = self._solve(part)
+                solved = self._solve(part)
+                if len(part) <= _LONG:
+                    self.known[part] = solved
             pieces, cost, strange, starts, ends = solved
             # Unknown neighbours across a cut are one piece where bytes do not stand for them.
             total += pieces - (after_unknown and starts and not self.byte_fallback)
@@ -92,30 +96,33 @@ class Counter:
         return total, score, unknown
 
     def _solve(self, part: str) -> tuple[int, float, int, bool, bool]:
-        size = len(part)
-        found: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        if len(self.automaton):
-            for end, (length, score) in self.automaton.iter(part):
-                found[end].append((length, score))
+        # Places further back than the longest piece are not looked at again.
+        size, ring = len(part), self.longest + 1
+        matches = self.automaton.iter(part) if len(self.automaton) else iter(())
+        ahead = next(matches, None)
         # Per place: score, pieces, unknown characters, whether the last piece is unknown, whether the first is.
-        best: list[tuple[float, int, int, bool, bool]] = [(0.0, 0, 0, False, False)]
+        best: list[tuple[float, int, int, bool, bool]] = [(0.0, 0, 0, False, False)] * min(ring, size + 1)
         for end in range(size):
+            found = []
+            while ahead is not None and ahead[0] == end:
+                found.append(ahead[1])
+                ahead = next(matches, None)
             chosen = None
-            for length, score in sorted(found[end], reverse=True):
-                before = best[end + 1 - length]
+            for length, score in sorted(found, reverse=True):
+                before = best[(end + 1 - length) % ring]
                 if chosen is None or before[0] + score > chosen[0]:
                     first = before[4] if end + 1 > length else False
                     chosen = (before[0] + score, before[1] + 1, before[2], False, first)
             if part[end] not in self.single:
-                before = best[end]
+                before = best[end % ring]
                 if chosen is None or before[0] + self.unknown > chosen[0]:
                     if self.byte_fallback:
                         pieces = before[1] + len(part[end].encode("utf-8", "surrogatepass"))
                     else:
                         pieces = before[1] + (not before[3])
                     chosen = (before[0] + self.unknown, pieces, before[2] + 1, True, before[4] if end else True)
-            best.append(chosen)
-        score, pieces, unknown, last, first = best[size]
+            best[(end + 1) % ring] = chosen
+        score, pieces, unknown, last, first = best[size % ring]
         return pieces, score, unknown, first, last
 
 

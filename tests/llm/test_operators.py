@@ -1,6 +1,7 @@
 """The training-data operators on small tables, against brute force and in odd cases."""
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -192,6 +193,18 @@ def test_tokens_match_the_library(spark):
         assert counter.count(text)[0] == len(model.encode(MARK + text.replace(" ", MARK)).ids), text
 
 
+def test_memory_of_a_text_without_spaces_is_bounded():
+    counter = TokenCounter(Vocabulary((("a", -1.0), ("ab", -1.5), ("b", -1.0), (MARK, -1.0)), True))
+    tracemalloc.start()
+    try:
+        found = counter.count("ab" * 200_000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == (200_001, -300_001.0, 0)
+    assert peak < 8 << 20 and not counter.known
+
+
 def test_quality_counts_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
