@@ -126,41 +126,70 @@ class _Slices:
             last = further
 
 
-def _possible(first: np.ndarray, last: np.ndarray, shortest: int, longest: int) -> np.ndarray:
-    """Buckets of one run that may hold a line shown, given their first and last instants.
+def _possible(
+    first: np.ndarray, last: np.ndarray, starts: np.ndarray, shortest: np.ndarray, longest: np.ndarray
+) -> np.ndarray:
+    """Buckets that may hold a line shown, given their first and last instants, run by run.
 
-    The k-th line shown lies between two bounds; both move on by an interval and to the next instant
-    that buckets know of.
+    ``starts``: each run's first bucket; ``shortest, longest``: its intervals. The k-th line shown of a run lies
+    between two bounds; both move on by an interval and to the next instant that buckets know of.
     """
-    found = np.zeros(len(first), dtype=bool)
-    low = high = _NEVER
+    ends = np.append(starts[1:], len(first))
+    base = first[starts]
+    band = int((last[ends - 1] - base).max()) + 3
+    most = max(1, 2**62 // band)
+    if len(starts) > most:
+        cut = starts[most]
+        return np.concatenate([
+            _possible(first[:cut], last[:cut], starts[:most], shortest[:most], longest[:most]),
+            _possible(first[cut:], last[cut:], starts[most:] - cut, shortest[most:], longest[most:]),
+        ])
+    # One rising axis for all runs: each gets a band wider than its length.
+    run = np.repeat(np.arange(len(starts)), ends - starts)
+    first_axis, last_axis = (run * band + (us - base[run]) + 1 for us in (first, last))
+    live = np.arange(len(starts))
+    low = high = np.full(len(starts), _NEVER)
+    opened = np.zeros(len(first) + 1, np.int64)
+
+    def place(axis: np.ndarray, us: np.ndarray, side: str = "left") -> np.ndarray:
+        return np.searchsorted(axis, live * band + np.clip(us - base[live] + 1, 0, band - 1), side)
+
     while True:
-        at = int(np.searchsorted(last, low))
-        if at == len(last):
-            return found
-        low = max(low, int(first[at]))
-        to = int(np.searchsorted(last, high))
-        high = int(last[-1]) if to == len(last) else int(first[to] if high <= first[to] else last[to])
-        found[at : int(np.searchsorted(first, high, "right"))] = True
-        low, high = low + shortest, high + longest
+        at = place(last_axis, low)
+        inside = at < ends[live]
+        live, low, high, at = live[inside], low[inside], high[inside], at[inside]
+        if not len(live):
+            return np.cumsum(opened[:-1]) > 0
+        low = np.maximum(low, first[at])
+        to = place(last_axis, high)
+        known = np.minimum(to, ends[live] - 1)
+        high = np.where((to < ends[live]) & (high <= first[known]), first[known], last[known])
+        np.add.at(opened, at, 1)
+        np.add.at(opened, place(first_axis, high, "right"), -1)
+        low, high = low + shortest[live], high + longest[live]
 
 
 def _cut(rows: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The slice of each bucket that may hold a line shown."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["job_id"]):
-            bounds = [0, *_changes(table, ["job_id"]).tolist(), table.num_rows]
+            starts = np.concatenate([[0], _changes(table, ["job_id"])]).astype(np.int64)
+            sizes = np.diff(starts, append=table.num_rows)
             first, last, shortest, longest, count = (
                 table.column(c).to_numpy() for c in ("first_us", "last_us", "shortest", "longest", "rows")
             )
+            least, most = np.minimum.reduceat(shortest, starts), np.maximum.reduceat(longest, starts)
             keep = np.ones(table.num_rows, dtype=bool)
-            number = np.zeros(table.num_rows, np.int64)
-            for i, j in zip(bounds[:-1], bounds[1:]):
-                least, most = int(shortest[i:j].min()), int(longest[i:j].max())
-                if least >= _NARROW * width:
-                    keep[i:j] = _possible(first[i:j], last[i:j], least, most)
-                counted = np.where(keep[i:j], count[i:j], 0)
-                number[i:j] = (np.cumsum(counted) - counted) // rows
+            narrow = least >= _NARROW * width
+            if narrow.any():
+                bounded = np.repeat(narrow, sizes)
+                own = sizes[narrow]
+                keep[bounded] = _possible(
+                    first[bounded], last[bounded], np.cumsum(own) - own, least[narrow], most[narrow]
+                )
+            counted = np.where(keep, count, 0)
+            before = np.cumsum(counted) - counted
+            number = (before - np.repeat(before[starts], sizes)) // rows
             out = table.select(["job_id", "bucket"]).append_column("slice", pa.array(number))
             yield from out.filter(pa.array(keep)).combine_chunks().to_batches()
 
@@ -218,16 +247,25 @@ def _functions(table: pa.Table) -> tuple[list[int], list[tuple[np.ndarray, np.nd
     return starts, [(upto[i:j], allowed[i:j]) for i, j in zip(starts, [*starts[1:], table.num_rows])]
 
 
-def _each(table: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
-    cuts = [0, *_changes(table, keys).tolist(), table.num_rows]
-    for i, j in zip(cuts[:-1], cuts[1:]):
-        yield table.slice(i, j - i)
+def _by_slices(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray, Iterator[pa.Table]]:
+    """First rows, and all rows, of keys with one slice; the tables of keys with several, which have many lines."""
+    starts = np.concatenate([[0], _changes(table, keys)]).astype(np.int64)
+    ends = np.append(starts[1:], table.num_rows)
+    slices = np.concatenate([[0], _changes(table, [*keys, "slice"])])
+    one = np.searchsorted(slices, ends) - np.searchsorted(slices, starts) == 1
+    several = (table.slice(i, j - i) for i, j in zip(starts[~one].tolist(), ends[~one].tolist()))
+    return starts[one], np.flatnonzero(np.repeat(one, ends - starts)), several
 
 
 def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The step function of each group of slices."""
     for whole in _whole_groups(batches, ["job_id", "group"]):
-        for table in _each(whole, ["job_id", "group"]):
+        _, rows, several = _by_slices(whole, ["job_id", "group"])
+        out = whole.select(["job_id", "group"]).take(pa.array(rows))
+        for name in ("upto", "allowed"):
+            out = out.append_column(name, pa.array(whole.column(name).to_numpy()[rows]))
+        yield from out.rename_columns(["job_id", "slice", "upto", "allowed"]).combine_chunks().to_batches()
+        for table in several:
             _, functions = _functions(table)
             upto, allowed = composed(functions, table.column("reach")[0].as_py())
             out = table.select(["job_id", "group"]).take(pa.array(np.zeros(len(upto), np.int64)))
@@ -239,7 +277,11 @@ def _follow(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     """Goes through the slices of each key in order, from ``start_us``, and states the start of each."""
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _whole_groups(batches, keys):
-            for table in _each(whole, keys):
+            first, _, several = _by_slices(whole, keys)
+            out = whole.select(["job_id", "slice"]).take(pa.array(first))
+            out = out.append_column("start_us", pa.array(whole.column("start_us").to_numpy()[first]))
+            yield from out.combine_chunks().to_batches()
+            for table in several:
                 rows, functions = _functions(table)
                 start = np.int64(table.column("start_us")[0].as_py())
                 starts = []
@@ -270,6 +312,8 @@ def sliced_instants(timed: DataFrame, width: int, seeds: DataFrame | None, slice
     )
     instants = (
         at.withColumn("bucket", F.floor(F.col("us") / F.lit(width)))
+        # The join below asks for this; said here, both uses of the instants share one scan and one shuffle.
+        .where(F.col("bucket").isNotNull())
         .groupBy("job_id", "bucket", "us")
         .agg(F.min("seq").alias("seq"), F.max("interval_us").alias("interval_us"))
     )

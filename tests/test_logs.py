@@ -3,6 +3,7 @@ import gzip
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -152,6 +153,30 @@ def test_throttle_of_a_hot_run_over_many_batches(spark):
     assert throttled(df, 1000) == expected
 
 
+def test_runs_of_one_slice_take_no_step_of_their_own(monkeypatch):
+    """Most runs are short; a step in Python for each of them is what many runs cannot afford."""
+    runs = 5000
+    table = pa.table({
+        "job_id": np.repeat(np.arange(runs), 2), "group": np.zeros(2 * runs, np.int64), "slice": np.zeros(2 * runs, np.int64),
+        "upto": np.tile([5, 9], runs), "allowed": np.tile([12, 16], runs), "reach": np.full(2 * runs, 7),
+        "start_us": np.repeat(np.arange(runs), 2),
+    })
+    monkeypatch.setattr(throttle_module, "_functions", None)
+    composed = pa.Table.from_batches(throttle_module._compose(iter(table.to_batches(max_chunksize=777))))
+    assert composed.num_rows == 2 * runs and composed.column_names == ["job_id", "slice", "upto", "allowed"]
+    starts = pa.Table.from_batches(throttle_module._follow(["job_id"])(iter(table.to_batches(max_chunksize=777))))
+    assert starts.column("start_us").to_pylist() == list(range(runs))
+
+
+def test_instants_are_read_and_shuffled_once(spark):
+    rows = [(j, i, i * 7, "tec-suite", "Completed 1 / 2: a") for j in range(3) for i in range(50)]
+    timed = logs.matching_lines(lines_df(spark, rows), REGISTRY).withColumn("interval_us", F.lit(100).cast("bigint"))
+    sliced = throttle_module.sliced_instants(timed, 50, None, 10)
+    assert sliced.count() == 150
+    sliced.collect()
+    assert "ReusedExchange" in sliced._jdf.queryExecution().executedPlan().toString()
+
+
 def test_functions_of_slices_compose(spark):
     """However slices are grouped, the composed function is the same where starts can lie."""
     rng = np.random.default_rng(4)
