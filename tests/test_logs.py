@@ -374,3 +374,29 @@ def test_beats_before_the_end(spark):
     )
     got = sorted((r.job_id, r.beats) for r in logs.closing_beats(lines, ended).collect())
     assert got == [(1, 4), (3, 2)]
+
+
+def test_buckets_of_many_runs_are_bounded_together():
+    """A bucket that holds a line shown stays, whatever stands beside its run."""
+    rng = np.random.default_rng(5)
+    first, last, starts, gaps, lines = [], [], [], rng.integers(50, 400, 60), []
+    for gap in gaps:
+        us = np.unique(rng.integers(0, 5000, rng.integers(1, 300))) + int(rng.integers(-(10**9), 10**9))
+        bucket = us // 7
+        at = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
+        starts.append(len(first))
+        first += us[at].tolist()
+        last += us[np.append(at[1:], len(us)) - 1].tolist()
+        lines.append((us, bucket, bucket[at]))
+    kept = throttle_module._possible(np.array(first), np.array(last), np.array(starts), gaps, gaps)
+    dropped = 0
+    for (us, bucket, own), start, gap in zip(lines, starts, gaps):
+        shown, allowed = [], None
+        for x, b in zip(us, bucket):
+            if allowed is None or x >= allowed:
+                shown.append(b)
+                allowed = x + gap
+        marked = kept[start : start + len(own)]
+        assert marked[np.isin(own, shown)].all()
+        dropped += int((~marked).sum())
+    assert dropped
