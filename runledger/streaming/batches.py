@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from runledger import schemas
 from runledger.functions.runs import micros
-from runledger.operators.logs import IDLE_SECONDS, annotate, line_events
+from runledger.operators.logs import IDLE_SECONDS, line_events, shown, with_progress
 from runledger.registry import Registry
 
 _STATE = "job_id {0}, allowed_us bigint, best int, last_us bigint, last_seq bigint"
@@ -105,13 +105,14 @@ def follow_batches(
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         state = feed.state(spark, number - 1, job_type)
-        # Read once from the source; a lost part is read from there again.
-        marked = split_late(batch.where(F.length("line") > 0), state).persist()
+        # Read once from the source, patterns tried once per line; a lost part is read from there again.
+        lines = batch.where(F.length("line") > 0)
+        marked = split_late(with_progress(lines, registry).withColumn("shown", shown(registry)), state).persist()
         try:
             marked.where("late").select(*schemas.LOG_LINES.fieldNames()).write.mode("overwrite").parquet(
                 feed.folder("late", number)
             )
-            fresh = annotate(marked.where("NOT late").drop("late"), registry)
+            fresh = marked.where("NOT late").drop("late").withColumn("line", F.when(F.col("shown"), F.col("line")))
             opened = None
             if started is not None:
                 opened = started().select("job_id", micros(F.col("started_at")).alias("last_us"))

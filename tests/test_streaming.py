@@ -204,3 +204,24 @@ def test_pause_before_the_first_line(spark):
     begun = spark.createDataFrame([(1, start), (2, start), (9, start)], "job_id LONG, started_at TIMESTAMP")
     events = logs.job_events(lines, REGISTRY, started=begun).where("event_type = 'heartbeat'").collect()
     assert [(r.job_id, r.seq, r.num) for r in events] == [(1, 0, 3)]
+
+
+def test_a_batch_tries_patterns_once(spark, tmp_path, monkeypatch):
+    """Each operator of a batch reads the marked lines; none goes back to the patterns."""
+    plans, events = [], batches.line_events
+
+    def seen(lines, *rest):
+        plans.append(lines._jdf.queryExecution().optimizedPlan().toString())
+        return events(lines, *rest)
+
+    monkeypatch.setattr(batches, "line_events", seen)
+    path = str(tmp_path / "lines")
+    spark.createDataFrame(
+        [(1, 0, dt.datetime(2024, 1, 1), "tec-suite", "Completed 1 / 2: a")], schemas.LOG_LINES
+    ).write.parquet(path)
+    out = batches.Feed(str(tmp_path / "feed"))
+    batches.follow_batches(
+        spark.readStream.schema(schemas.LOG_LINES).parquet(path), default_registry(), out, str(tmp_path / "checkpoint")
+    ).awaitTermination()
+    assert sorted(r.event_type for r in out.events(spark).collect()) == ["log", "progress"]
+    assert plans and not any("RLIKE" in plan.split("InMemoryRelation")[0] for plan in plans)
