@@ -2,7 +2,7 @@
 
 Each context, the word before, has a restaurant; all share one parent restaurant over words, whose base is
 uniform over the vocabulary and one unknown word. A training word sits at a table of its context's restaurant;
-each table is a customer of the parent. Gibbs sampling takes customers up and seats them again. A word's
+each table is a customer of the parent. Gibbs sampling takes all customers of a cell up and seats them again. A word's
 probability is the mean of its predictive probabilities over several sampled seatings.
 
 Tokens are shuffled once, to partitions of the word they predict, so a word's tables in all contexts and its
@@ -15,9 +15,10 @@ round samples seatings in each partition against the sums of the round before, t
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ _DOC_GROUP = 12
 _END = np.uint64(0x6A09E667F3BCC909)
 _LOW = np.uint64((1 << 32) - 1)
 _START = np.uint64(0xBB67AE8584CAA73B)
-ROUNDS, SWEEPS, SAMPLES, MOVES = 3, 3, 3, 12
+ROUNDS, SWEEPS, SAMPLES = 3, 3, 3
+# Customers up to which ways to seat them are listed; beyond, integrals of this many places give them.
+LISTED, _NODES = 1500, 96
 STRENGTH = 1.0
 
 
@@ -231,11 +234,122 @@ def _gathered(dealt: DataFrame, parts: int) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(gather, "part int, model binary, tokens binary")
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Log of the gamma function of positive numbers."""
+    y = x + 8
+    far = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return far - sum(np.log(x + k) for k in range(8))
+
+
+@functools.lru_cache(maxsize=2)
+def _ways(discount: float) -> np.ndarray:
+    """Log of the generalized Stirling numbers of up to ``LISTED`` customers (row) at each number of tables (column)."""
+    out = np.full((LISTED + 1, LISTED + 1), -np.inf)
+    out[1, 1] = 0.0
+    tables = np.arange(1, LISTED + 1)
+    for n in range(1, LISTED):
+        stay = np.where(tables <= n, np.log(np.maximum(n - discount * tables, 1e-300)), 0.0) + out[n, 1:]
+        out[n + 1, 1:] = np.logaddexp(out[n, :-1], stay)
+    return out
+
+
+def _log_ways(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
+    """Log of the generalized Stirling numbers, up to what depends on the customers alone.
+
+    Tables of ``n`` customers weigh ``z^n`` in ``f = (1 - (1 - z)^d) / d``; the number is a coefficient of ``f^tables``. It is
+    integrated with ``z = exp(-v)`` through the saddle point: along a parabola round the branch cut, or a line far from it.
+    """
+    c, t = customers.astype(float), tables.astype(float)
+
+    def log_x(v: np.ndarray) -> np.ndarray:
+        near = np.log(-np.expm1(-v))
+        return np.where(v.real > 0.5, np.log1p(-np.exp(-np.where(v.real > 0.5, v, 1.0))), near)
+
+    def slope(v: np.ndarray) -> np.ndarray:
+        lx = log_x(v)
+        return discount * np.exp((discount - 1) * lx - v) / -np.expm1(discount * lx)
+
+    over = np.maximum(c - t, 1)
+    low, high = np.log(5 / over), np.full(len(c), np.log(40.0))
+    for _ in range(30):
+        middle = (low + high) / 2
+        right = t * slope(np.exp(middle)) > c
+        low, high = np.where(right, middle, low), np.where(right, high, middle)
+    mu = np.exp(high)
+    bend = t * (slope(mu * (1 - 1e-4)) - slope(mu * (1 + 1e-4))) / (2e-4 * mu)
+    spread = 1 / np.sqrt(np.maximum(bend, 1e-300))
+    bent = mu < 1.4
+    # Places along the path: dense at the peak, up to where nothing is left.
+    end = np.where(bent, np.sqrt(1 + 45 / (over * mu)), np.minimum(np.pi, 13 * spread))
+    unit = np.where(bent, np.minimum(spread / (2 * mu), end), 50 * end)
+    far = np.arcsinh(end / unit)
+    steps = (np.arange(_NODES) + 0.5) / _NODES * far[:, None]
+    at = unit[:, None] * np.sinh(steps)
+    turn = 1 + 1j * at
+    m = mu[:, None]
+    v = np.where(bent[:, None], m * turn * turn, m + 1j * at)
+    peak = c * mu + t * np.log(-np.expm1(discount * log_x(mu)))
+    g = c[:, None] * v + t[:, None] * np.log(-np.expm1(discount * log_x(v))) - peak[:, None]
+    paths = np.where(bent[:, None], 2 * m * turn, 1.0) * np.cosh(steps)
+    sums = (np.exp(g) * paths).real.sum(1) * unit * far / _NODES / np.pi
+    logs = np.log(np.maximum(sums, 1e-300)) + peak
+    return np.where(tables == customers, t * np.log(discount), logs) - _log_gamma(t + 1) - t * np.log(discount)
+
+
+def _most_likely(log_weight: Callable[[np.ndarray], np.ndarray], most: np.ndarray) -> np.ndarray:
+    """The place of the maximum of log-concave weights of 1 to ``most``."""
+    low, high = np.ones(len(most), np.int64), most.copy()
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        rises = (middle > 1) & (log_weight(middle) >= log_weight(np.maximum(middle - 1, 1)))
+        low, high = np.where(rises, middle, low), np.where(rises, high, np.maximum(middle - 1, low))
+    return low
+
+
+def _many(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of cells with any number of customers, by rejection: flat about the maximum, geometric on both sides."""
+    def log_weight(tables: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return _log_ways(customers[rows], tables, discount) + tables * np.log(weight[rows])
+
+    mode = _most_likely(log_weight, customers)
+    top = log_weight(mode)
+    bend = 2 * top - log_weight(np.minimum(mode + 1, customers)) - log_weight(np.maximum(mode - 1, 1))
+    wide = np.maximum(1, 1 / np.sqrt(np.maximum(bend, 1e-12))).astype(np.int64)
+    left, right = np.maximum(mode - wide, 1), np.minimum(mode + wide, customers)
+    at_left, at_right = log_weight(left), log_weight(right)
+    fall_left = np.minimum(log_weight(np.maximum(left - 1, 1)) - at_left, -1e-9)
+    fall_right = np.minimum(log_weight(np.minimum(right + 1, customers)) - at_right, -1e-9)
+
+    def tail(at: np.ndarray, fall: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.where(there, np.exp(at - top + fall) / -np.expm1(fall), 0.0)
+
+    middle = right - left + 1.0
+    below, above = tail(at_left, fall_left, left > 1), tail(at_right, fall_right, right < customers)
+    out = np.zeros(len(customers), np.int64)
+    while len(rows := np.flatnonzero(out == 0)):
+        place = rng.random(len(rows)) * (middle + below + above)[rows]
+        steps = np.log(1 - rng.random(len(rows)))
+        down = np.minimum(1 + steps / fall_left[rows], 2.0**60).astype(np.int64)
+        up = np.minimum(1 + steps / fall_right[rows], 2.0**60).astype(np.int64)
+        inner, lower = place < middle[rows], place < (middle + below)[rows]
+        tables = np.where(inner, left[rows] + place.astype(np.int64), np.where(lower, left[rows] - down, right[rows] + up))
+        bound = np.where(
+            inner, top[rows],
+            np.where(lower, at_left[rows] + fall_left[rows] * down, at_right[rows] + fall_right[rows] * up),
+        )
+        there = np.flatnonzero((tables >= 1) & (tables <= customers[rows]))
+        rows, tables, bound = rows[there], tables[there], bound[there]
+        taken = np.log(1 - rng.random(len(rows))) <= log_weight(tables, rows) - bound
+        out[rows[taken]] = tables[taken]
+    return out
+
+
 class Seating:
     """Tables of many cells; a cell's customers all eat one dish.
 
-    Tables are slots of one array, some of them empty, cell by cell. Cells stand in the order of their
-    customers, so that those with enough of them for a further move are the last.
+    A sweep takes up all customers of each cell and seats them again: the number of a cell's tables is drawn from its
+    distribution given the weight of a table, ``weight ** tables`` times the generalized Stirling number, whatever was before.
+    Neither tables nor customers are bounded. Cells stand in the order of their customers.
     """
 
     def __init__(self, customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator):
@@ -243,16 +357,7 @@ class Seating:
         self.order = np.argsort(customers, kind="stable")
         self.customers, self.discount, self.rng = customers[self.order], discount, rng
         self.reweigh(weight)
-        # As many tables as a cell of this size is likely to have; the first holds the others' rest.
-        customers, weight = self.customers, self.weight
-        likely = np.minimum(customers, 1 + weight * np.log1p((customers - 1) / (weight + 1 - discount)) + 1e-9)
-        self._tables = np.maximum(1, likely.astype(np.int64))
-        room = np.minimum(customers, 2 * self._tables + 4)
-        self.first = np.r_[0, np.cumsum(room)]
-        self.sizes = np.zeros(self.first[-1], np.int64)
-        slot = np.arange(self.first[-1]) - np.repeat(self.first[:-1], room)
-        self.sizes[slot < np.repeat(self._tables, room)] = 1
-        self.sizes[self.first[:-1]] += customers - self._tables
+        self._tables = np.ones(len(customers), np.int64)
 
     def reweigh(self, weight: np.ndarray) -> None:
         self.weight = np.maximum(weight, 1e-12)[self.order]
@@ -264,42 +369,40 @@ class Seating:
         out[self.order] = self._tables
         return out
 
-    def sweep(self, moves: int) -> None:
-        """Takes up to ``moves`` customers of each cell from their tables and seats them again."""
-        for turn in range(moves):
-            start = int(np.searchsorted(self.customers, max(1, turn), side="right"))
-            if start == len(self.customers):
-                return
-            self._move(start)
-
-    def _move(self, start: int) -> None:
-        first = self.first[start:] - self.first[start]
-        sizes, tables = self.sizes[self.first[start]:], self._tables[start:]
-
-        def pick(values: np.ndarray, total: np.ndarray) -> np.ndarray:
-            """A slot of each cell, in proportion to ``values``."""
-            upto = np.cumsum(values)
-            before = np.r_[0, upto[first[1:-1] - 1]]
-            slots = np.searchsorted(upto, before + self.rng.random(len(total)) * total, side="right")
-            return np.clip(slots, first[:-1], first[1:] - 1)
-
-        customers = self.customers[start:]
-        left = pick(sizes, customers)
-        # Rounding at a cell's edge may point to an empty slot: that cell keeps its seating.
-        sat = sizes[left] > 0
-        sizes[left[sat]] -= 1
-        tables -= sat & (sizes[left] == 0)
-        taken = customers - 1 - self.discount * tables
-        new = self.rng.random(len(customers)) * (taken + self.weight[start:]) >= taken
-        slots = pick(np.where(sizes > 0, sizes - self.discount, 0.0), np.maximum(taken, 0.0))
-        # A new table takes an empty slot; without one the customer joins an old table.
-        empty = np.append(np.flatnonzero(sizes == 0), len(sizes))
-        free = empty[np.searchsorted(empty, first[:-1])]
-        room = free < first[1:]
-        stale = sizes[slots] == 0
-        slots = np.where((new | stale) & room, free, np.where(stale, left, slots))[sat]
-        tables[sat] += sizes[slots] == 0
-        sizes[slots] += 1
+    @property
+    def first(self) -> np.ndarray:
+        """Where the tables of each cell begin in ``sizes``."""
+        return np.r_[0, np.cumsum(self._tables)]
+
+    @property
+    def sizes(self) -> np.ndarray:
+        """Customers per table of one seating with these tables, cell by cell: predictions depend on no more."""
+        out = np.ones(int(self._tables.sum()), np.int64)
+        out[self.first[:-1]] += self.customers - self._tables
+        return out
+
+    def sweep(self, times: int = 1) -> None:
+        """Seats all customers anew, ``times`` times."""
+        for _ in range(times):
+            upto = int(np.searchsorted(self.customers, LISTED, side="right"))
+            start = 0
+            while start < upto:
+                n = int(self.customers[start])
+                end = int(np.searchsorted(self.customers, n, side="right"))
+                end = min(end, start + max(1, 2_000_000 // n))
+                self._tables[start:end] = self._few(n, self.weight[start:end])
+                start = end
+            # Blocks bound what the integrals hold.
+            for start in range(upto, len(self.customers), 4096):
+                block = slice(start, start + 4096)
+                self._tables[block] = _many(self.customers[block], self.weight[block], self.discount, self.rng)
+
+    def _few(self, n: int, weight: np.ndarray) -> np.ndarray | int:
+        if n == 1:
+            return 1
+        logs = _ways(self.discount)[n, 1 : n + 1] + np.log(weight)[:, None] * np.arange(1, n + 1)
+        upto = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), axis=1)
+        return 1 + (upto < (self.rng.random(len(weight)) * upto[:, -1])[:, None]).sum(1)
 
 
 class _Shared:
@@ -309,7 +412,7 @@ class _Shared:
         self.vocabulary, self.hot, self.hot_counts = vocabulary, hot, hot_counts
         self.discounts = (0.75, 0.5)
         self.parent_customers = self.parent_tables = 0.0
-        self.hot_customers = np.zeros(len(hot))
+        self.hot_customers, self.hot_tables = np.zeros(len(hot)), np.zeros(len(hot), np.int64)
 
 
 def _discount(ones: float, twos: float) -> float:
@@ -376,10 +479,13 @@ def _sampled(model: bytes, sums: bytes | None, shared: _Shared, part: int, turn:
         whole = eaten.copy()
         if is_hot.any():
             whole[is_hot] = np.maximum(shared.hot_customers[hot_at[is_hot]], eaten[is_hot]).astype(np.int64)
-        known = np.flatnonzero(whole)
-        seats = Seating(whole[known], np.full(len(known), parent_weight), d0, rng)
-        seats.sweep(4)
         above = np.zeros(len(words))
+        if is_hot.any():
+            # Seated once for all partitions, but in the first round.
+            above[is_hot] = np.minimum(shared.hot_tables[hot_at[is_hot]], whole[is_hot])
+        known = np.flatnonzero((whole > 0) & (above == 0))
+        seats = Seating(whole[known], np.full(len(known), parent_weight), d0, rng)
+        seats.sweep()
         above[known] = seats.tables
         total = max(shared.parent_customers, float(whole.sum()) if not shared.parent_customers else 0.0)
         probability = (
@@ -391,7 +497,7 @@ def _sampled(model: bytes, sums: bytes | None, shared: _Shared, part: int, turn:
     weight = (STRENGTH + d1 * tables_of[place]) * probability[own]
     seats = Seating(customers, weight, d1, rng)
     for sweep in range(SWEEPS + samples - 1):
-        seats.sweep(MOVES)
+        seats.sweep()
         if sweep >= SWEEPS - 1:
             eaten, above, probability = parent(seats.tables)
             seats.reweigh((STRENGTH + d1 * tables_of[place]) * probability[own])
@@ -448,7 +554,8 @@ def _round(model: DataFrame, shared: _Shared, turn: int, parts: int) -> tuple[Da
     if len(shared.hot):
         weight = np.full(len(shared.hot), (STRENGTH + after.discounts[1] * total[1]) / (shared.vocabulary + 1))
         seats = Seating(np.maximum(after.hot_customers, 1).astype(np.int64), weight, after.discounts[1], np.random.default_rng(turn))
-        seats.sweep(4)
+        seats.sweep()
+        after.hot_tables = seats.tables
         hot_tables = float(seats.tables.sum())
     after.parent_tables = total[1] + hot_tables
     return own, after

@@ -1,5 +1,6 @@
 """The training-data operators on small tables, against brute force and in odd cases."""
 
+import math
 import re
 import tracemalloc
 from collections import Counter, defaultdict
@@ -354,6 +355,35 @@ def test_seating_keeps_customers():
     assert (occupied[np.argsort(seats.order)] == seats.tables).all() and seats.tables[0] == 1
 
 
+def test_ways_to_seat_many_customers_equal_the_listed_ones(monkeypatch):
+    monkeypatch.setattr(py, "LISTED", 700)
+    for discount in (0.05, 0.5, 0.75, 0.95):
+        listed = py._ways.__wrapped__(discount)
+        for n in (201, 700):
+            tables = np.arange(1, n + 1)
+            got = py._log_ways(np.full(n, n), tables, discount) + math.lgamma(n + 1)
+            assert np.abs(got - listed[n, 1 : n + 1]).max() < 1e-6
+
+
+def test_tables_are_neither_bounded_nor_left_at_a_guess():
+    """Mean and spread of the tables drawn are those of the distribution, counted one customer at a time."""
+    rng = np.random.default_rng(1)
+    for n, weight, discount in ((150, 40.0, 0.5), (600, 0.5, 0.75), (600, 900.0, 0.3), (5000, 2000.0, 0.8), (3, 2.0, 0.4)):
+        logs = np.full(n + 1, -np.inf)
+        logs[1] = math.log(weight)
+        tables = np.arange(1, n + 1)
+        for k in range(1, n):
+            stay = np.where(tables <= k, np.log(np.maximum(k - discount * tables, 1e-300)), 0.0) + logs[1:]
+            logs[1:] = np.logaddexp(logs[:-1] + math.log(weight), stay)
+        p = np.exp(logs[1:] - logs.max())
+        p /= p.sum()
+        mean, spread = (p * tables).sum(), math.sqrt((p * tables**2).sum() - (p * tables).sum() ** 2)
+        seats = Seating(np.full(2000, n), np.full(2000, weight), discount, rng)
+        seats.sweep()
+        assert abs(seats.tables.mean() - mean) < 5 * spread / math.sqrt(2000) + 1e-9
+        assert abs(seats.tables.std() - spread) < 0.1 * spread + 1e-9
+
+
 def test_model_beats_base_on_held_out_texts(spark):
     rows = [r for r in queries()["op1_pitman_yor"](spark, SF).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
