@@ -11,6 +11,7 @@ texts are cut there and equal parts are solved once.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -63,6 +64,7 @@ class Counter:
         if len(self.automaton):
             self.automaton.make_automaton()
         self.single = {p for p, _ in vocabulary.pieces if len(p) == 1}
+        self.finite = all(math.isfinite(s) for _, s in vocabulary.pieces)
         self.unknown = min((s for _, s in vocabulary.pieces), default=0.0) - UNKNOWN_COST
         letters = {c for p, _ in vocabulary.pieces for c in p}
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in vocabulary.pieces)
@@ -79,22 +81,36 @@ class Counter:
         if not text:
             return 0, 0.0, 0
         total, score, unknown, after_unknown = 0, 0.0, 0, False
+        known, merged = self.known.get, not self.byte_fallback
         for part in self.parts(MARK + text.replace(" ", MARK)):
-            solved = self.known.get(part)
+            solved = known(part)
             if solved is None:
                 if len(self.known) >= _REMEMBERED:
                     self.known.clear()
-                solved = self._solve(part)
+                simple = self.finite and len(part) <= _LONG and self.single.issuperset(part)
+                solved = self._solve_known(part) if simple else self._solve(part)
                 if len(part) <= _LONG:
                     self.known[part] = solved
             pieces, cost, strange, starts, ends = solved
             # Unknown neighbours across a cut are one piece where bytes do not stand for them.
-            total += pieces - (after_unknown and starts and not self.byte_fallback)
+            total += pieces - (merged and after_unknown and starts)
             after_unknown = ends
             score += cost
             unknown += strange
         return total, score, unknown
 
+    def _solve_known(self, part: str) -> tuple[int, float, int, bool, bool]:
+        """Like ``_solve`` where each character has a piece of its own; for parts short enough to hold all places."""
+        scores, pieces = [0.0] + [-math.inf] * len(part), [0] * (len(part) + 1)
+        # Matches come by their ends, and those of one end from the longest to the shortest.
+        for end, (length, worth) in self.automaton.iter(part):
+            start = end + 1 - length
+            score = scores[start] + worth
+            if score > scores[end + 1]:
+                scores[end + 1] = score
+                pieces[end + 1] = pieces[start] + 1
+        return pieces[-1], scores[-1], 0, False, False
+
     def _solve(self, part: str) -> tuple[int, float, int, bool, bool]:
         # Places further back than the longest piece are not looked at again.
         size, ring = len(part), self.longest + 1

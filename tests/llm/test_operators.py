@@ -1,6 +1,7 @@
 """The training-data operators on small tables, against brute force and in odd cases."""
 
 import math
+import random
 import re
 import tracemalloc
 from collections import Counter, defaultdict
@@ -344,6 +345,22 @@ def test_short_blocks_beside_kept_ones_stay():
     assert len(got) == 17
 
 
+def test_parts_of_known_characters_need_no_unknown_ones(monkeypatch):
+    """The short way gives the pieces of the long one, also among equal scores, and is the one taken."""
+    rng = random.Random(3)
+    letters = MARK + "abc"
+    words = {"".join(rng.choices(letters, k=rng.randint(2, 5))) for _ in range(60)}
+    pieces = tuple((p, float(-rng.randint(1, 4) * len(p))) for p in [*letters, *sorted(words)])
+    counter = TokenCounter(Vocabulary(pieces, True))
+    parts = ["".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(500)]
+    long_way = [counter._solve(p) for p in parts]
+    assert [counter._solve_known(p) for p in parts] == long_way
+    monkeypatch.setattr(counter, "_solve", None)
+    assert counter.count("ab c")[2] == 0
+    with pytest.raises(TypeError):
+        counter.count("x")
+
+
 def test_seating_keeps_customers():
     customers = np.array([1, 2, 3, 50, 1000])
     seats = Seating(customers, np.full(5, 0.7), 0.6, np.random.default_rng(0))
