@@ -217,6 +217,13 @@ def _throttled(interval_sec: float | None) -> Callable[[SparkSession, str], Data
     return query
 
 
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    """The log with its patterns tried once per line; each step of a feed reads its few columns from there."""
+    path = scratch_path(spark, "marked")
+    logs.annotate(view("job_log_lines", spark, sf), REGISTRY).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def job_events(spark: SparkSession, sf: str) -> DataFrame:
     runs = view("job_runs", spark, sf).where(F.col("finished_at").isNotNull())
     lost = F.col("exit_code") == UNKNOWN_EXIT
@@ -225,7 +232,7 @@ def job_events(spark: SparkSession, sf: str) -> DataFrame:
         F.when(lost, "container not found").alias("error"),
     )
     return logs.job_events(
-        view("job_log_lines", spark, sf), REGISTRY, ended, interval_sec=THROTTLE_SEC,
+        _marked(spark, sf), REGISTRY, ended, interval_sec=THROTTLE_SEC,
         started=_starts(spark, sf),
     )
 

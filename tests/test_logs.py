@@ -294,6 +294,14 @@ def test_annotated_lines_give_the_same_events(spark, tmp_path):
     assert "line" not in plan[plan.index("ReadSchema"):]
 
 
+def test_the_feed_of_a_log_tries_patterns_once(spark):
+    from runledger.plans.queries import registered
+
+    events = registered()["job_events"](spark, "/root/testdata/sf0.001")
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp" not in plan and "Relation" in plan
+
+
 def test_short_tails_are_cut_before_the_shuffle(spark):
     plan = logs.tail_lines(lines_df(spark, [(1, 0, 0, "x", "t")]), 3)._jdf.queryExecution()
     assert plan.executedPlan().toString().count("WindowGroupLimit") == 2
