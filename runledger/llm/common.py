@@ -35,12 +35,17 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     Cuts the lineage and fixes generated row numbers: later reads, and reads after an
     executor is lost, see the same rows.
     """
+    return stored_at(rows, name)[0]
+
+
+def stored_at(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like ``stored``, with the folder, for callers that drop it as soon as it has been read."""
     spark = rows.sparkSession
     path = scratch_path(spark, name)
     if getattr(_stage, "open", False):
         _stage.folders.append(path)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), path
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

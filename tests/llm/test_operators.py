@@ -1,17 +1,21 @@
 """The training-data operators on small tables, against brute force and in odd cases."""
 
 import math
+import pickle
 import random
 import re
 import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from runledger.llm import common
 from runledger.llm import near_duplicates as nd
 from runledger.llm import pitman_yor as py
 from runledger.llm.components import connected_components
@@ -472,6 +476,57 @@ def test_tokens_of_a_frequent_pair_meet_nowhere(spark, monkeypatch):
         assert abs(r.score - other.score) < 1e-6 and abs(r.base_score - other.base_score) < 1e-6
 
 
+def test_tokens_of_odd_texts_are_those_of_bytes():
+    odd = [None, "", "  ", " a  B\x0b\x0cC ", "\x1ca\x1f b c  d", "Ünï É\n\n漢字 x\t", "AA", "\U0001F600 \x85 z", "a\x00b c"]
+    words, sizes, hashes = py._numbered(pa.chunked_array([pa.array(odd)]))
+    expected = [[*py.WordHashes().of((t or "").encode().lower().split()).tolist(), int(py._END)] for t in odd]
+    assert hashes[words].tolist() == sum(expected, []) and sizes.tolist() == [len(e) for e in expected]
+    first = np.cumsum(sizes) - sizes
+    assert (hashes[py._before(words, sizes)][first] == py._START).all()
+    # Runs keep all rows in order; a long text stands alone.
+    batches = [pa.record_batch({"text": pa.array(["x" * k for k in ks], pa.string())}) for ks in ([1, 2, 3], [50, 1], [], [0] * 30)]
+    runs = [[len(t) for t in r.column("text").to_pylist()] for r in py._runs(iter(batches), 40)]
+    assert sum(runs, []) == [1, 2, 3, 50, 1, *[0] * 30] and [50] in runs and max(map(len, runs)) == 6
+
+
+def test_ranked_words_shrink_what_is_shuffled_and_change_no_cell(spark):
+    rng = np.random.default_rng(4)
+    texts = [(k, " ".join(f"w{x}" for x in rng.integers(0, 900, 800))) for k in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "text", (F.col("doc_id") % 10 == 0).alias("held_out")).persist()
+    hashes = np.unique(py.WordHashes().of([f"w{x}".encode() for x in range(0, 900, 2)]))
+    none, size, found = np.empty((0, 2), np.uint64), [], []
+    for ranked in (py._NONE, rng.permutation(hashes)):
+        dealt = py._dealt(rows, py._NONE, none, 3, ranked)
+        size.append(dealt.agg(F.sum(F.length("data"))).first()[0])
+        cells = {}
+        for r in py._gathered(dealt, 3, ranked).collect():
+            words, contexts, word, context, counts, _ = py._opened(bytes(r.model), ranked)
+            in_cell, n, uids = py._unpack(bytes(r.tokens))
+            ends = np.cumsum(in_cell)
+            for c, w, k, a, b in zip(contexts[context].tolist(), words[word].tolist(), counts.tolist(), ends - in_cell, ends):
+                cells[c, w] = (k, sorted(zip(uids[a:b].tolist(), n[a:b].tolist())))
+        found.append(cells)
+    assert found[0] == found[1] and size[1] < 0.8 * size[0]
+    assert sum(n for _, seen in found[0].values() for _, n in seen) == 120 * 801
+
+
+def test_a_model_leaves_only_its_sums_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_path", lambda spark, name: str(tmp_path / f"{name}-{random.random()}"))
+    # Partitions whose tokens are all those of frequent pairs have none of their own.
+    docs = spark.createDataFrame([(k, f"one two{k % 7} three") for k in range(90)], "doc_id long, text string")
+    rows = score_texts(docs).collect()
+    assert len(rows) == 90 and all(r.n_tokens == 4 for r in rows)
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"py-rows", "py-sums"}
+
+
+def test_workers_need_no_package_for_a_model():
+    shared = py._Shared(1, py._NONE, np.empty(0), py._NONE)
+    assert b"runledger" not in pickle.dumps(py._plain(shared))
+    py._ways(0.5)
+    assert len(cloudpickle.dumps(py._ways)) < 100_000 and isinstance(cloudpickle.loads(cloudpickle.dumps(py._ways)).__wrapped__(0.5), np.ndarray)
+
+
 def test_kinds_counts_all_hits_of_a_long_text():
     weights = _Weights({b"=vile": 2.0, b"=foul": 2.0})
     values = dict(zip(FEATURES, features("vile " * 100_001 + "fine foul", weights)))
