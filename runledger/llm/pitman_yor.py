@@ -614,7 +614,7 @@ def _sampled(model: bytes, sums: bytes | None, shared: _Shared, part: int, turn:
         above[known] = seats.tables
         total = max(shared.parent_customers, float(whole.sum()) if not shared.parent_customers else 0.0)
         probability = (
-            np.maximum(whole - d0 * above, 0) + (STRENGTH + d0 * max(shared.parent_tables, 1.0)) * base
+            np.maximum(whole - d0 * above, 0) + (STRENGTH + d0 * max(shared.parent_tables, float(shared.vocabulary > 0))) * base
         ) / (STRENGTH + total)
         return eaten, above, probability
 

@@ -520,6 +520,11 @@ def test_a_model_leaves_only_its_sums_on_disk(spark, tmp_path, monkeypatch):
     assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"py-rows", "py-sums"}
 
 
+def test_a_model_that_learned_nothing_gives_probability_one(spark):
+    rows = score_texts(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows) == [(1, 0, 0, 0, 0), (3, 0, 0, 0, 0)]
+
+
 def test_workers_need_no_package_for_a_model():
     shared = py._Shared(1, py._NONE, np.empty(0), py._NONE)
     assert b"runledger" not in pickle.dumps(py._plain(shared))
